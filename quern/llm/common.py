@@ -31,24 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def table(df: DataFrame, name: str = "t") -> DataFrame:
+def table(df: DataFrame, name: str = "t", scratch: bool = True) -> DataFrame:
     """Write df to a Parquet table in the shared folder and read it back.
 
     Cuts lineage durably: a lost executor costs a re-read, not a re-run.
+    Scratch tables go with ``release``, others stay.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _scratch.append(path)
+    if scratch:
+        _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> list[str]:
-    """Delete the scratch tables written so far, except the last ``keep``.
+def release(spark: SparkSession) -> list[str]:
+    """Delete the scratch tables written so far.
 
     Call it only when no result that reads them is still to be computed.
     """
-    gone = _scratch[: len(_scratch) - keep]
+    gone = list(_scratch)
     for path in gone:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
