@@ -17,8 +17,8 @@ The plain form of the method, with a whole collection in one order and a round
 for each byte of its longest text, takes as many passes over all data as that text
 has bytes; here rounds are bounded by the 736 columns around an anchor, and the
 collections of different anchors are built side by side. An anchor with more than
-SMALL strings is not given to one task: its windows are hashed (128 bits) and
-counted by Spark, which has the same result.
+SMALL strings is not given to one task: ranges of its windows, then single ones where
+that doesn't tell, are hashed (128 bits) and counted by Spark, which has the same result.
 
 Cases: null text is empty; texts of under 400 bytes have no window; every row is a
 document, so a repeated row repeats all its windows; a null id is kept as such; an
@@ -186,21 +186,64 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     n_parts = max(parts(docs.sparkSession), few.count() // TOGETHER)
     compared = few.repartition(n_parts, "v").sortWithinPartitions("v").mapInArrow(compare, f"v long, hs long, spans {SPANS}")
 
-    def windows(batches):
-        for b in batches:
-            for v, hs, n, s in zip(*(b.column(c).to_pylist() for c in ("v", "hs", "n", "s")), strict=True):
-                k = len(s) - window + 1
-                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s[i : i + window]) for i in range(k)), "<i8").reshape(k, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, v)), pa.array(np.full(k, hs)), pa.array(np.full(k, n)), pa.array(np.arange(k)), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], ["v", "hs", "n", "s", "h1", "h2"])
-
-    many = texts.filter(F.col("d") > SMALL).mapInArrow(windows, "v long, hs long, n long, s long, h1 long, h2 long")
-    twice = many.groupBy("h1", "h2").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
-    counted = many.join(twice, ["h1", "h2"]).filter("n = 1").groupBy("v", "hs").agg(F.collect_list(F.struct("s", F.col("s").alias("e"))).alias("spans"))
+    many = texts.filter(F.col("d") > SMALL).drop("d")
+    counted = [] if many.isEmpty() else _counted(many, window)
     whole = strings.filter("n > 1").select("v", "hs", F.expr(f"cast(array(named_struct('s', 0L, 'e', at.p2 - at.p1)) as {SPANS})").alias("spans"))
-    repeated = table(whole.union(compared).union(counted), "repeated")
+    repeated = whole.union(compared)
+    for c in counted:
+        repeated = repeated.union(c)
+    repeated = table(repeated, "repeated")
     return occ.join(repeated, ["v", "hs"]).select("doc_id", "th", "p1", "spans")
 
 
+LEVELS = (64, 8, 1)
+
+
+def _ranges(width: int, window: int):
+    """For mapInArrow: a row for each aligned range of ``width`` windows (by distance i to the anchor) that a string's open ranges meet.
+
+    c is the hash of the bytes that all windows of the range share, f that of all bytes
+    of those that the string has.
+    """
+
+    def hashed_ranges(batches):
+        for b in batches:
+            rows = []
+            for v, hs, n, lead, s, open_ in zip(*(b.column(c).to_pylist() for c in ("v", "hs", "n", "lead", "s", "open")), strict=True):
+                least = lead - (len(s) - window)
+                for k in sorted({k for o in open_ for k in range(o["s"] // width, o["e"] // width + 1)}):
+                    i0, i1 = k * width, (k + 1) * width - 1
+                    lo, hi = max(i0, least), min(i1, lead)
+                    if lo <= hi:
+                        c = s[lead - i0 if i0 <= lead else 0 : lead - i1 + window]
+                        rows.append((v, hs, n, lo, hi, xxhash.xxh3_128_digest(c + bytes([k & 255])), xxhash.xxh3_128_digest(s[lead - hi : lead - lo + window] + bytes([lo - i0, hi - i0]))))
+            cols = zip(*rows, strict=True) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, [pa.int64()] * 5 + [pa.binary()] * 2, strict=True)], ["v", "hs", "n", "lo", "hi", "c", "f"])
+
+    return hashed_ranges
+
+
+def _counted(many: DataFrame, window: int) -> list[DataFrame]:
+    """v, hs, spans of repeated windows, for strings of anchors that have too many for one task.
+
+    From wide ranges of windows to single ones: where what a range's windows share is
+    found once, none of them is repeated; where all its bytes are found twice, all are;
+    the rest, with all strings it may meet, goes to the next level.
+    """
+    state = many.withColumn("open", F.expr(f"array(named_struct('s', lead - (length(s) - {window}), 'e', lead))"))
+    out = []
+    for width in LEVELS:
+        rows = table(state.mapInArrow(_ranges(width, window), "v long, hs long, n long, lo long, hi long, c binary, f binary"), "ranges")
+        twice = rows.groupBy("f").agg(F.count("*").alias("k")).filter("k > 1").select("f", F.lit(True).alias("whole"))
+        rows = table(rows.join(twice, "f", "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "ranges")
+        done = rows.filter("whole and n = 1").groupBy("v", "hs").agg(F.collect_list(F.struct(F.col("lo").alias("s"), F.col("hi").alias("e"))).alias("i"))
+        out.append(done.join(many.select("v", "hs", "lead"), ["v", "hs"]).select("v", "hs", F.expr("transform(i, x -> named_struct('s', lead - x.e, 'e', lead - x.s))").alias("spans")))
+        meet = rows.groupBy("c").agg(F.count("*").alias("k"), F.min("whole").alias("all")).filter("k > 1 and not all").select("c")
+        open_ = rows.join(meet, "c").groupBy("v", "hs").agg(F.collect_list(F.struct(F.col("lo").alias("s"), F.col("hi").alias("e"))).alias("open"))
+        state = many.join(open_, ["v", "hs"])
+    return out
+
+
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, as_text: bool = False) -> DataFrame:
     """The rows of docs with n_bytes, n_removed, n_spans (long) and kept (binary, or text without characters cut in two)."""
     spans = repeated_spans(docs, window, anchor)
