@@ -30,7 +30,7 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 ROOTS = ["licen", "spdx", "cc by", "cc0", "creative", "gpl", "mpl", "bsd", "cddl", "odbl", "wtfpl", "rail", "cecill", "expat", "etalab", "mulan", "beer",
          "public domain", "permission is hereby", "hereby granted", "redistribution and use", "neither the name of", "advertising materials", "this software is provided",
          "open data commons", "w3c", "classpath", "commons clause", "polyform", "same terms as", "do what the", "used for good", "attribution",
-         "rights reserved", "tous droits", "derechos reservados", "rechte vorbehalten", "lizen", "proprietary", "commercial use", "released under", "terms of the", "copyright"]
+         "rights reserved", "tous droits", "derechos reservados", "rechte vorbehalten", "lizen", "apache 2", "zlib", "unencumbered", "proprietary", "commercial use", "released under", "terms of the", "copyright"]
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
