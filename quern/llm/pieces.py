@@ -7,30 +7,41 @@ chunks go to the tokenizer, in batches.
 from __future__ import annotations
 
 import re
+from unicodedata import is_normalized
 
 import numpy as np
 
-CACHE_CHUNKS = 250_000  # about 60 MB a worker
+CACHE_CHUNKS = 1_000_000  # about 200 MB a worker
 TEXT_CHARS = 2_000_000  # texts handled at once
 
 
 class ChunkCache:
-    """ids of chunks as little-endian 32-bit bytes; emptied when full."""
+    """ids of chunks as little-endian 32-bit bytes; emptied when full.
 
-    def __init__(self, encode, limit: int = CACHE_CHUNKS):
-        self.encode, self.limit, self.ids = encode, limit, {}
+    parts: a chunk as (head, tail) whose ids, one after the other, are the chunk's;
+    heads repeat more than chunks, so fewer go to the tokenizer.
+    """
+
+    def __init__(self, encode, limit: int = CACHE_CHUNKS, parts=lambda c: (c, "")):
+        self.encode, self.limit, self.parts = encode, limit, parts
+        self.ids: dict[str, bytes] = {}
 
     def texts(self, chunked: list[list[str]]) -> list[bytes]:
-        new = set()
+        seen = set()
         for chunks in chunked:
-            new.update(chunks)
-        new = [c for c in new if c not in self.ids]
-        if len(self.ids) + len(new) > self.limit:
-            self.ids.clear()
-            new = list({c for chunks in chunked for c in chunks})
-        for c, i in zip(new, self.encode(new), strict=True):
-            self.ids[c] = np.asarray(i, "<u4").tobytes()
-        get = self.ids.__getitem__
+            seen.update(chunks)
+        ids = self.ids
+        new = [c for c in seen if c not in ids]
+        if len(ids) + len(new) > self.limit:
+            ids.clear()
+            new = list(seen)
+        cut = {c: self.parts(c) for c in new}
+        asked = list({p for pair in cut.values() for p in pair if p not in ids} | ({""} - ids.keys()))
+        for c, i in zip(asked, self.encode(asked), strict=True):
+            ids[c] = np.asarray(i, "<u4").tobytes()
+        for c, (head, tail) in cut.items():
+            ids[c] = ids[head] + ids[tail]
+        get = ids.__getitem__
         return [b"".join(map(get, chunks)) for chunks in chunked]
 
 
@@ -49,6 +60,15 @@ def in_turns(texts: list[str], size: int = TEXT_CHARS):
 # ------------------------------------------------------- lower-case word BPE
 
 _words: dict = {}
+_MARKS = ".,!?;:#$%&*|<>"
+
+
+def word_parts(chunk: str) -> tuple[str, str]:
+    """Word and marks after it. After a letter or digit a run of marks is a token of its own, and case does not count."""
+    head = chunk.rstrip(_MARKS)
+    if not head or not head[-1].isalnum() or "<|" in chunk:  # that may be a special token
+        head = chunk
+    return head.lower() if head.isascii() and head is not chunk or chunk.isalpha() and chunk.isascii() else head, chunk[len(head) :]
 
 
 def word_cache(path: str) -> ChunkCache:
@@ -57,11 +77,16 @@ def word_cache(path: str) -> ChunkCache:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        _words[path] = ChunkCache(lambda new: [e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)])
+        _words[path] = ChunkCache(lambda new: [e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)], parts=word_parts)
     return _words[path]
 
 
 def word_chunks(text: str) -> list[str]:
+    """The text's words with the marks on them, in lower case where the tokenizer's own lowering would give the same."""
+    if "<|" not in text and "Σ" not in text:
+        low = text.lower()
+        if text.isascii() or (is_normalized("NFC", text) and is_normalized("NFC", low)):
+            text = low
     return text.replace("\n", " ").split(" ")
 
 
