@@ -197,13 +197,37 @@ def similar(nodes: DataFrame, signatures: Callable[[np.ndarray], np.ndarray], gr
     # Groups that one component doesn't hold: across their components, all that hasn't been tried.
     lab = hits.join(root, "cid", "left").select("sig", "cid", F.coalesce("root", "cid").alias("root"))
     mixed = lab.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2").select("sig")
-    rest = table(lab.join(mixed, "sig"), "mixed")
-    x, y = rest, rest.select("sig", F.col("cid").alias("other"), F.col("root").alias("other_root"))
-    cross = x.join(y, "sig").filter("root < other_root").select(*pair("cid", "other")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = table(lab.join(mixed, "sig").join(nibbles(nodes), "cid"), "mixed")
+    cross = _across(rest).distinct().join(tried, ["a", "b"], "left_anti")
     more = verify(table(cross, "cross"), nodes, grams_of)
     return components(edges.union(more))
 
 
+#: Of 80 four-bit values 61 agree on average at similarity 0.75 (deviation 3.8).
+MIN_NIBBLES = 36
+_NIBBLES = [f"q{i}" for i in range(COORDS // 16)]
+
+
+def nibbles(nodes: DataFrame) -> DataFrame:
+    """cid, q0 to q4: the low four bits of each coordinate, for comparing in a join's condition."""
+
+    def run(batches):
+        for b in batches:
+            s = np.frombuffer(b"".join(b.column("sketch").to_pylist()), "<u2").reshape(-1, len(_NIBBLES), 16).astype(np.uint64)
+            q = ((s & np.uint64(15)) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("cid"), *(pa.array(q[:, i]) for i in range(len(_NIBBLES)))], ["cid", *_NIBBLES])
+
+    return nodes.select("cid", "sketch").mapInArrow(run, "cid long, " + ", ".join(f"{q} long" for q in _NIBBLES))
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one signature and different roots whose sketches agree enough; others are never rows."""
+    other = rows.select("sig", F.col("cid").alias("cid_"), F.col("root").alias("root_"), *(F.col(q).alias(f"{q}_") for q in _NIBBLES))
+    differ = [f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {0x1111111111111111}L)" for x in (f"({q} ^ {q}_)" for q in _NIBBLES)]
+    on = F.expr(f"l.sig = r.sig and root < root_ and {' + '.join(differ)} <= {COORDS - MIN_NIBBLES}")
+    return rows.alias("l").join(other.alias("r"), on).select(F.least("cid", "cid_").alias("a"), F.greatest("cid", "cid_").alias("b"))
+
+
 def in_rows(col, words: np.ndarray):
     """A condition: the bit of the long column is set."""
 

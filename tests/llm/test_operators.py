@@ -131,11 +131,6 @@ def test_jaccard(spark):
     assert sorted(map(tuple, got), key=str) == jaccard_brute(rows)
 
 
-def test_large_groups_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "LARGE_GROUP", 1)
-    test_jaccard(spark)
-
-
 def test_packing():
     rng = np.random.default_rng(1)
     for size in (12, 4096):
