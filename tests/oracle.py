@@ -1,6 +1,7 @@
 """Compares a query with its SQL, run by DuckDB on the same tables."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DATA = "/root/testdata/sf0.001"
@@ -9,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 def _value(v):
     if hasattr(v, "__len__"):
         return v if isinstance(v, str) else str(list(v))
-    if v is None or v != v:
+    if pd.isna(v):
         return ""
     return str(v) if isinstance(v, bool) else f"{float(v):.6g}" if isinstance(v, (int, float)) else str(v)
 
