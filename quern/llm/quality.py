@@ -5,16 +5,21 @@ above a cutoff. Cutoffs are chosen per stratum (language) and rule from the
 labelled documents, split into two halves by a hash of the text, so that
 copies fall into one half:
 
-* the tuning half picks the cutoff that catches the most bad documents, each
-  good one caught counting COST bad ones (ties: the higher cutoff);
-* the other half certifies it: if good documents were rejected at a rate of
-  ALPHA / rules or more, so few rejections among that many would have, by the
-  exact binomial tail, a chance of at most DELTA / (strata * rules)
-  (Bonferroni). A cutoff that isn't certified is not used.
-
-So with confidence 1 - DELTA, in every stratum all rules together reject at
-most ALPHA of the good documents. All labels count; histograms are made by
-Spark and hold BINS numbers per stratum and rule.
+* the tuning half picks for each rule the cutoff that catches the most bad
+  documents, each good one caught counting COST bad ones (ties: the higher
+  cutoff), and puts the stratum's rules in order, most gained first (ties: the
+  rule's number);
+* the other half certifies the first rule, the first two together and so on, up
+  to all: if good documents were rejected by any of them at a rate of ALPHA or
+  more, so few rejections among that many would have, by the exact binomial
+  tail, a chance of at most DELTA / strata (Bonferroni). The first failure ends
+  it: that rule and the later ones are not used.
+
+More rules reject no fewer documents, so a stratum errs only where the first
+set of too high a rate is certified. So with confidence 1 - DELTA, in every
+stratum all rules in use together reject at most ALPHA of the good documents.
+All labels count; histograms are made by Spark and hold BINS numbers per
+stratum and rule, and one per stratum and rule of the certifying half.
 
 Cases: null text has no words; labels without a quality are ignored, and of
 several for one id the lowest counts; a null stratum is a stratum; repeated
@@ -128,33 +133,61 @@ def tail(k: int, n: int, p: float) -> float:
     return min(1.0, float(np.exp(logs - top).sum()) * math.exp(top))
 
 
-def choose(good: np.ndarray, bad: np.ndarray, held_good: np.ndarray, tests: int, alpha: float = ALPHA, delta: float = DELTA) -> int | None:
-    """The cutoff bin (reject above it) or None. Histograms by bin; tests: how many cutoffs are certified at once."""
+def tuned(good: np.ndarray, bad: np.ndarray) -> tuple[int, int] | None:
+    """The cutoff bin (reject above it) and its gain, or None. Histograms by bin."""
     above = lambda h: h.sum() - np.cumsum(h)
     gain = above(bad) - COST * above(good)
     if gain.max() <= 0:
         return None
-    cut = int(np.flatnonzero(gain == gain.max())[-1])
-    k, n = int(above(held_good)[cut]), int(held_good.sum())
-    return cut if tail(k, n, alpha / len(RULES)) <= delta / tests else None
+    return int(np.flatnonzero(gain == gain.max())[-1]), int(gain.max())
+
+
+def certified(k: int, n: int, tests: int, alpha: float = ALPHA, delta: float = DELTA) -> bool:
+    """Whether k rejections of n good documents show a rate under alpha; tests: how many are made at once."""
+    return tail(k, n, alpha) <= delta / tests
+
+
+def choose(good: np.ndarray, bad: np.ndarray, held_good: np.ndarray, tests: int, alpha: float = ALPHA, delta: float = DELTA) -> int | None:
+    """The cutoff bin of one rule alone, or None where it isn't certified."""
+    cut = tuned(good, bad)
+    k = cut and int(held_good[cut[0] + 1 :].sum())
+    return cut[0] if cut and certified(k, int(held_good.sum()), tests, alpha, delta) else None
 
 
 def thresholds(measured_docs: DataFrame, labels: DataFrame) -> DataFrame:
     """lang, cutoffs: map of rule number to cutoff bin, per stratum with certified rules."""
     q = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = measured_docs.select("doc_id", "lang", "half", F.posexplode("__bins").alias("rule", "bin")).join(q, "doc_id")
-    hist = known.groupBy("lang", "rule", "half", "bin").agg(F.sum(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") > 0, 0).otherwise(1)).alias("bad"))
-    hist = table(hist, "histograms")
-    tests = hist.select("lang", "rule").distinct().count()
+    known = table(measured_docs.select("doc_id", "lang", "half", "__bins").join(q, "doc_id"), "labelled")
+    tests = known.select("lang").distinct().count()
+    each = known.filter("half = 0").select("lang", "quality", F.posexplode("__bins").alias("rule", "bin"))
+    hist = each.groupBy("lang", "rule", "bin").agg(F.sum(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") > 0, 0).otherwise(1)).alias("bad"))
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        h = np.zeros((2, 2, BINS), np.int64)
-        for half, b, g, d in zip(rows.half, rows.bin, rows.good, rows.bad, strict=True):
-            h[half, :, b] += (g, d)
-        cut = choose(h[0, 0], h[0, 1], h[1, 0], tests)
-        return pd.DataFrame({"lang": rows.lang[:1], "rule": rows.rule[:1], "cutoff": [cut]})[: 0 if cut is None else 1]
-
-    cuts = hist.groupBy("lang", "rule").applyInPandas(pick, "lang string, rule int, cutoff int")
+        h = np.zeros((len(RULES), 2, BINS), np.int64)
+        for rule, b, g, d in zip(rows.rule, rows.bin, rows.good, rows.bad, strict=True):
+            h[rule, :, b] += (g, d)
+        cuts = [(rule, *cut) for rule in range(len(RULES)) if (cut := tuned(*h[rule]))]
+        cuts.sort(key=lambda c: (-c[2], c[0]))
+        return pd.DataFrame({"lang": rows.lang[:1], "rules": [[c[0] for c in cuts]], "cuts": [[c[1] for c in cuts]]})[: min(len(cuts), 1)]
+
+    picked = table(hist.groupBy("lang").applyInPandas(pick, "lang string, rules array<int>, cuts array<int>"), "picked")
+    # place: the first rule in order that rejects a good document of the other half; -1: none does.
+    c = picked.withColumnRenamed("lang", "__lang")
+    place = F.expr("array_position(transform(rules, (r, i) -> __bins[r] > cuts[i]), true) - 1").alias("place")
+    held = known.filter("half = 1 and quality > 0").join(c, known["lang"].eqNullSafe(c["__lang"])).select("lang", "rules", "cuts", place)
+    held = held.groupBy("lang", "rules", "cuts", "place").agg(F.count("*").alias("n"))
+
+    def certify(rows: pd.DataFrame) -> pd.DataFrame:
+        rules, cuts = list(rows.rules.iloc[0]), list(rows.cuts.iloc[0])
+        n, k, used = int(rows.n.sum()), 0, 0
+        for i in range(len(rules)):
+            k += int(rows.n[rows.place == i].sum())
+            if not certified(k, n, tests):
+                break
+            used = i + 1
+        return pd.DataFrame({"lang": rows.lang.iloc[0], "rule": rules[:used], "cutoff": cuts[:used]})
+
+    cuts = held.groupBy("lang").applyInPandas(certify, "lang string, rule int, cutoff int")
     return cuts.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
 

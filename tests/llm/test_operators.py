@@ -239,6 +239,23 @@ def test_quality(spark):
     assert all(r["kept"] for r in judged.filter("doc_id % 3 > 0").collect())
 
 
+def test_quality_certifies_every_stratum(spark):
+    rows = [(i, ["en", "de", "fr", None][i % 4], " ".join(f"w{i}x{j}" for j in range(30)) + " " + "%&" * (15 if i % 16 < 4 else 0) + "!" * (40 if 4 <= i % 16 < 8 else 0)) for i in range(3200)]
+    bad = {i for i, *_ in rows if i % 16 < 8}
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i, *_ in rows], "doc_id long, quality int")
+    judged = quality.judge(d, labels).collect()
+    assert not any(r["base_failed"] for r in judged)
+    assert {r["doc_id"] for r in judged if not r["kept"]} == bad
+    # Rules are certified together: none of a stratum with too few good documents, and no rule after one that fails.
+    few = spark.createDataFrame([(i, "en", i % 2, [199 if i < 100 else 0] + [0] * 5) for i in range(250)], "doc_id long, lang string, half int, __bins array<int>")
+    assert quality.thresholds(few, labels.select("doc_id", F.expr("int(doc_id >= 100)").alias("quality"))).count() == 0
+    split = [(i, "en", i % 2, [199 if i < 300 else 0, 199 if i < 200 or i % 2 and i % 10 == 9 else 0, 199 if i < 100 else 0, 0, 0, 0]) for i in range(1300)]
+    split = spark.createDataFrame(split, "doc_id long, lang string, half int, __bins array<int>")
+    cuts = quality.thresholds(split, labels.select("doc_id", F.expr("int(doc_id >= 300)").alias("quality"))).collect()
+    assert [r["cutoffs"] for r in cuts] == [{0: 198}]
+
+
 def test_exact_tail():
     from math import comb
 
