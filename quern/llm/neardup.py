@@ -38,8 +38,8 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the five-word shingles; fewer words are one shingle."""
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of the five-word shingles, in order; fewer words are one shingle."""
     if not words:
         return np.zeros(0, np.uint64)
     h = np.array(list(map(_hashes.__getitem__, words)), np.uint64)
@@ -47,7 +47,12 @@ def shingles(words: list[bytes]) -> np.ndarray:
     out = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
         out = out * GOLD + h[i : len(h) - n + 1 + i]
-    return np.unique(mix(out))
+    return mix(out)
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(shingle_hashes(words))
 
 
 def words_of(text: str) -> list[bytes]:

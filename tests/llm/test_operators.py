@@ -183,6 +183,29 @@ def test_substring(spark):
     assert 1 - (1 - 0.75**rows_) ** bands >= 0.998
 
 
+def test_substring_inside_lines(spark):
+    own = lambda k, n: " ".join(f"{k}e{j}" for j in range(n))
+    rows = []
+    for k in range(20):  # a passage of 60 words in two lines of 150, at different places
+        passage = own(f"p{k}", 60)
+        rows += [(2 * k, f"{own(f'a{k}', 30)} {passage} {own(f'b{k}', 60)}"), (2 * k + 1, f"head\n{own(f'c{k}', 70)}  {passage.upper()}  {own(f'd{k}', 20)}")]
+    rows += [(100, "no " * 200), (101, "no " * 200 + "yes"), (102, own("z", 24) + " " + own("y", 60)), (103, own("x", 60) + " " + own("z", 24)), (None, None)]
+    got = {r["doc_id"]: r for r in substring.dedup_paragraphs(documents(spark, rows + rows[:1])).collect()}
+    for i, t in rows:
+        if i is None or i % 2 == 0 or i > 99:
+            if i != 101:
+                assert (got[i]["n_cut"], got[i]["kept_text"]) == (0, t or "")
+            continue
+        k = i // 2
+        words, kept = t.split(), got[i]["kept_text"].split()
+        assert got[i]["n_removed"] == 0 and got[i]["n_cut"] == len(t) - len(got[i]["kept_text"])
+        assert 25 <= len(words) - len(kept) <= 60  # only words of the passage go, in one run
+        at = next(j for j, (x, y) in enumerate(zip(words, kept)) if x != y)
+        assert words[:at] + words[at + len(words) - len(kept) :] == kept and 71 <= at and all(w.startswith(f"P{k}") for w in words[at : at + len(words) - len(kept)])
+        assert got[i]["kept_text"].startswith("head\n")
+    assert len(substring.block_starts(np.arange(44, dtype=np.uint64))) == 0 and len(substring.block_starts(np.arange(45, dtype=np.uint64))) == 1
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((40, 64))
