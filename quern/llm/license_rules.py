@@ -142,7 +142,7 @@ RULES = r"""
 2|open software license|osl|(the )?open software license
 1|academic free license|afl-3.0|academic free license (v|version )?3 0
 2|academic free license|afl|(the )?academic free license
-1|open database license|odbl-1.0|open database licen[cs]e( (v|version )?1 0)?
+1|open database licen|odbl-1.0|open database licen[cs]e( (v|version )?1 0)?
 1|odbl|odbl-1.0|odbl( 1 0)?
 1|open data commons attribution|odc-by|open data commons attribution licen[cs]e
 1|public domain dedication and license|pddl|public domain dedication and license
@@ -176,7 +176,7 @@ RULES = r"""
 1|nvidia source code license|nvidia|nvidia source code license
 1|llama 2 community license|llama-2|llama 2 community license( agreement)?
 1|llama 3 community license|llama-3|(meta )?llama 3 community license( agreement)?
-1|openrail|openrail|(creativeml )?(big ?science )?open ?rail( ?m)?( licen[cs]e)?
+1|rail|openrail|(creativeml )?(big ?science )?open ?rail( ?m)?( licen[cs]e)?
 1|hippocratic license|hippocratic|hippocratic license( (v|version )?\d( \d)?)?
 1|json license|json|(the )?json license
 1|shall be used for good not evil|json|the software shall be used for good not evil
@@ -184,7 +184,7 @@ RULES = r"""
 1|fair license|fair|(the )?fair license
 1|open government licence|ogl-3|open government licence (v|version )?3 0
 2|open government licence|ogl|open government licence
-1|etalab|etalab-2|(etalab )?licence ouverte( etalab)?( 2 0)?
+1|licence ouverte|etalab-2|(etalab )?licence ouverte( etalab)?( 2 0)?
 1|datenlizenz deutschland|dl-de-by-2|datenlizenz deutschland namensnennung( (version )?2 0)?
 2|lizenziert unter|licensed|lizenziert unter( der)?
 2|licencia mit|mit|licencia mit
@@ -205,7 +205,8 @@ RULES = r"""
 3|licensed under|licensed|licensed under( the)?( [^ ]+){1,3}
 3|licenced under|licensed|licenced under( the)?( [^ ]+){1,3}
 3|released under|licensed|released under the( [^ ]+){1,3} licen[cs]e
-3|see license|licensed|see (the )?license( file)?( for details)?
+3|see license|licensed|see license( file)?( for details)?
+3|see the license|licensed|see the license( file)?( for details)?
 3|license file|licensed|(see |in )?(the )?license file
 3|terms of the|licensed|(under )?the terms of the( [^ ]+){1,4} licen[cs]e
 3|copyright|copyright|copyright (c )?\d{4}
