@@ -66,7 +66,8 @@ _MARKS = ".,!?;:#$%&*|<>"
 def word_parts(chunk: str) -> tuple[str, str]:
     """Word and marks after it. After a letter or digit a run of marks is a token of its own, and case does not count."""
     head = chunk.rstrip(_MARKS)
-    if not head or not head[-1].isalnum() or "<|" in chunk:  # that may be a special token
+    # "<|" may be a special token; a capital that lowers to a letter and a mark has that mark in one token with those after it.
+    if not head or not head[-1].isalnum() or not head[-1].lower()[-1].isalnum() or "<|" in chunk:
         head = chunk
     return head.lower() if head.isascii() and head is not chunk or chunk.isalpha() and chunk.isascii() else head, chunk[len(head) :]
 
