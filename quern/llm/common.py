@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,10 +23,12 @@ _scratch: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the cluster names none (tests on one machine) a temporary one is set.
+    Where it is unset, a local master (tests on one machine) gets a temporary folder; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), 'quern-checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,7 +45,22 @@ def table(df: DataFrame, name: str = "t", scratch: bool = True) -> DataFrame:
     df.write.parquet(path)
     if scratch:
         _scratch.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _scratch:
+        _scratch.remove(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that nothing still to be computed reads."""
+    for t in tables:
+        _delete(t.sparkSession, t._path)
 
 
 def release(spark: SparkSession) -> list[str]:
@@ -52,9 +70,7 @@ def release(spark: SparkSession) -> list[str]:
     """
     gone = list(_scratch)
     for path in gone:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        _scratch.remove(path)
+        _delete(spark, path)
     return gone
 
 
@@ -76,6 +92,16 @@ def same_key(a: DataFrame, b: DataFrame, *names: str) -> Column:
     return on
 
 
+def whole(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns of docs as one struct, ``row``, beside the named ones: no name of theirs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def of_row(docs: DataFrame) -> list[Column]:
+    """The columns of docs out of ``row``."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -97,6 +123,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+# ---------------------------------------------------------------- words
+
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+PIECE = 1 << 17  # bytes of a text hashed at once
+_powers: list[np.ndarray] = []
+
+
+def _grow(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.concatenate([[_U(1)], np.cumprod(np.full(n, b, np.uint64))]) for b in (_BASE, pow(_BASE, -1, 2**64))]
+    return _powers
+
+
+def _pieces(data: bytes):
+    """Ranges of a text that end after a blank, or at its end."""
+    at, size = 0, PIECE
+    while at < len(data):
+        end = at + size
+        if end < len(data):
+            part = data[at:end]
+            end = at + 1 + max(part.rfind(c) for c in b"\t\n\v\f\r ")
+            if end == at:  # no blank in it
+                size *= 2
+                continue
+        yield at, min(end, len(data))
+        at, size = end, PIECE
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hash (64 bits), start and stop (bytes) of each word of a text; ASCII blanks part words.
+
+    A word's hash is a polynomial of its bytes, from differences of running sums: no object per word.
+    """
+    out = []
+    for at, end in _pieces(data):
+        x = np.frombuffer(data, np.uint8, end - at, at)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[x], [True]])))
+        start, stop = edge[::2], edge[1::2]
+        power, inverse = _grow(len(x) + 1)
+        sums = np.concatenate([[_U(0)], np.cumsum((x.astype(np.uint64) + _U(1)) * power[: len(x)])])
+        h = (sums[stop] - sums[start]) * inverse[start]
+        out.append((mix(h + mix(stop - start)), start + at, stop + at))
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+# ---------------------------------------------------------------- caches
+
+_holders: dict[str, Callable[[], None]] = {}
+
+
+def holder(stage: str, clear: Callable[[], None]) -> None:
+    """Names what frees the cache that a stage keeps in its Python worker."""
+    _holders[stage] = clear
+
+
+def begin(stage: str) -> None:
+    """Called where a stage's task starts: workers outlive stages, so the caches of others are freed."""
+    for name, clear in _holders.items():
+        if name != stage:
+            clear()
+
+
 # ------------------------------------------------------------ bitmaps
 
 BITMAP_BITS = 1 << 23  # 1 MB, whatever the input

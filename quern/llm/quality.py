@@ -36,12 +36,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quern.llm.common import GOLD, read, table
+from quern.llm.common import GOLD, begin, of_row, read, table, whole, word_hashes
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RULES = ["symbols", "shouting", "dup_lines", "repeats", "few_distinct", "bars"]
@@ -50,22 +48,10 @@ WINDOW, MIN_WORDS, REPEAT_PERCENT = 5, 10, 20
 ALPHA, DELTA, COST, BINS = 0.03, 0.05, 20, 200
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_codes = _Codes()
-
-
-def repeated_words(words: list[bytes]) -> int:
-    """Words in five-word windows that occur twice or more."""
-    if len(words) <= WINDOW:
+def repeated_words(h: np.ndarray) -> int:
+    """Words in five-word windows that occur twice or more; h: the words' hashes."""
+    if len(h) <= WINDOW:
         return 0
-    h = np.array(list(map(_codes.__getitem__, words)), np.uint64)
     n = len(h) - WINDOW + 1
     w = np.zeros(n, np.uint64)
     for i in range(WINDOW):
@@ -74,10 +60,10 @@ def repeated_words(words: list[bytes]) -> int:
     same = w[order[1:]] == w[order[:-1]]
     if not same.any():
         return 0
+    edge = np.zeros(len(h) + 1, np.int64)
     hit = np.zeros(n, bool)
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
-    edge = np.zeros(len(h) + 1, np.int64)
     at = np.flatnonzero(hit)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + WINDOW, -1)
@@ -87,40 +73,41 @@ def repeated_words(words: list[bytes]) -> int:
 def measure(text: str) -> tuple[list[int], list[float]]:
     """The base counts and the rules' scores of a text."""
     data = text.encode("utf-8", "surrogatepass")
-    words = data.split()
-    n = len(words)
+    h, _, _ = word_hashes(data)
+    n = len(h)
     chars = len(text) - sum(text.count(c) for c in BLANKS)
     symbols = sum(text.count(c) for c in SYMBOLS)
-    lines = [x for x in data.split(b"\n") if x.split()]
+    lines = [x for x in data.split(b"\n") if x.strip()]
     dups = len(lines) - len(set(lines))
-    repeats = repeated_words(words)
+    repeats = repeated_words(h)
     marks = text.count("!")
     scores = [
         symbols / (symbols + n) if n else 0.0,
         marks / (marks + n) if n else 0.0,
         dups / len(lines) if lines else 0.0,
         repeats / n if n else 0.0,
-        1 - len(set(words)) / n if n else 0.0,
+        1 - len(np.unique(h)) / n if n else 0.0,
         text.count("|") / n if n else 0.0,
     ]
     return [n, chars, symbols, dups, repeats], [min(s, 1.0) for s in scores]
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the base counts, and the scores as bins (0 to BINS - 1)."""
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in BASE), T.StructField("__bins", T.ArrayType(T.IntegerType()))])
+def measured(df: DataFrame, text: Column) -> DataFrame:
+    """df with a struct m of the text's base counts, and its scores as bins (0 to BINS - 1); texts don't come back from Python."""
 
-    def run(batches):
-        for b in batches:
-            base, bins = [], []
-            for t in b.column(b.schema.get_field_index("text")):
-                x, y = measure(t.as_py() or "")
-                base.append(x)
-                bins.append([min(int(s * BINS), BINS - 1) for s in y])
-            cols = np.array(base, np.int64).reshape(-1, len(BASE)).T
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in cols), pa.array(bins, pa.list_(pa.int32()))], [*b.schema.names, *BASE, "__bins"])
+    def run(texts: pa.Array) -> pa.Array:
+        begin("quality")
+        base, bins = [], []
+        for t in texts:
+            x, y = measure(t.as_py() or "")
+            base.append(x)
+            bins.append([min(int(s * BINS), BINS - 1) for s in y])
+        cols = np.array(base, np.int64).reshape(-1, len(BASE)).T
+        return pa.StructArray.from_arrays([*(pa.array(c) for c in cols), pa.array(bins, pa.list_(pa.int32()))], [*BASE, "__bins"])
 
-    return docs.mapInArrow(run, schema)
+    # Not deterministic for the optimiser, which would copy the call into filters on what it gives.
+    call = F.arrow_udf(run, f"struct<{', '.join(f'{c}: long' for c in BASE)}, __bins: array<int>>").asNondeterministic()
+    return df.withColumn("m", call(text))
 
 
 def tail(k: int, n: int, p: float) -> float:
@@ -195,7 +182,7 @@ BASE_FAILED = f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT}
 
 
 def verdicts(m: DataFrame, cuts: DataFrame) -> DataFrame:
-    """m with base_failed and kept."""
+    """m (lang, base counts, __bins and others) with base_failed and kept."""
     c = cuts.withColumnRenamed("lang", "__lang")
     out = m.join(c, m["lang"].eqNullSafe(c["__lang"]), "left").drop("__lang")
     above = F.expr("exists(sequence(0, size(__bins) - 1), i -> coalesce(__bins[i] > cutoffs[i], false))")
@@ -204,15 +191,16 @@ def verdicts(m: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def slim(docs: DataFrame) -> DataFrame:
     """doc_id, lang, half and what is measured of every row, as a table."""
-    m = measured(docs.select("doc_id", "lang", "text"))
+    m = measured(docs.select("doc_id", "lang", "text"), F.col("text"))
     half = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(9)), F.lit(2)).cast("int")
-    return table(m.select("doc_id", "lang", half.alias("half"), *BASE, "__bins"), "measured")
+    return table(m.select("doc_id", "lang", half.alias("half"), "m.*"), "measured")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All rows and columns of docs with the base counts, base_failed and kept."""
     cuts = table(thresholds(slim(docs), labels), "cutoffs")
-    return verdicts(measured(docs), cuts).drop("__bins")
+    m = measured(whole(docs, lang=F.col("lang")), F.col("row.text")).select("row", "lang", "m.*")
+    return verdicts(m, cuts).select(*of_row(docs), *BASE, "base_failed", "kept")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
