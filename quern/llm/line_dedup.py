@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import keyed, read
+from quern.llm.common import keyed, of_row, read, whole
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -44,19 +44,20 @@ def later_windows(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of docs, with n_lines, n_removed, n_spans (long) and kept_text."""
-    hit = later_windows(docs).groupBy("doc_id", "th").agg(F.collect_set("line").alias("__starts"))
-    hit = hit.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__hash"), "__starts")
-    d = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = d.join(hit, d["doc_id"].eqNullSafe(hit["__doc"]) & (d["__th"] == hit["__hash"]), "left")
-    lines = "split(coalesce(text, ''), '\n')"
-    cut = "if(__starts is null, cast(array() as array<int>), array_sort(array_distinct(flatten(transform(__starts, s -> array(s, s + 1, s + 2))))))"
-    out = out.withColumn("__cut", F.expr(cut))
+    hit = later_windows(docs).groupBy("doc_id", "th").agg(F.collect_set("line").alias("starts")).withColumnsRenamed({"doc_id": "at_doc", "th": "at_th"})
+    text = F.coalesce(F.col("text"), F.lit(""))
+    d = whole(docs, doc_id=F.col("doc_id"), th=F.xxhash64(text))
+    out = d.join(hit, d["doc_id"].eqNullSafe(hit["at_doc"]) & (d["th"] == hit["at_th"]), "left")
+    cut = "if(starts is null, cast(array() as array<int>), array_sort(array_distinct(flatten(transform(starts, s -> array(s, s + 1, s + 2))))))"
+    # Exploded, so that each array is made once and not once for each use.
+    lines = F.split(F.coalesce("row.text", F.lit("")), "\n")
+    out = out.select("row", F.explode(F.array(F.struct(lines.alias("l"), F.expr(cut).alias("cut")))).alias("x")).select("row", "x.l", "x.cut")
     return out.select(
-        *docs.columns,
-        F.expr(f"cast(size({lines}) as long)").alias("n_lines"),
-        F.expr("cast(size(__cut) as long)").alias("n_removed"),
-        F.expr("cast(size(filter(__cut, (x, i) -> i = 0 or __cut[i - 1] < x - 1)) as long)").alias("n_spans"),
-        F.expr(f"if(size(__cut) = 0, coalesce(text, ''), array_join(transform(array_except(sequence(0, size({lines}) - 1), __cut), i -> {lines}[i]), '\n'))").alias("kept_text"),
+        *of_row(docs),
+        F.size("l").cast("long").alias("n_lines"),
+        F.size("cut").cast("long").alias("n_removed"),
+        F.expr("cast(size(filter(cut, (x, i) -> i = 0 or cut[i - 1] < x - 1)) as long)").alias("n_spans"),
+        F.expr("if(size(cut) = 0, coalesce(row.text, ''), array_join(transform(array_except(sequence(0, size(l) - 1), cut), i -> l[i]), '\n'))").alias("kept_text"),
     )
 
 
