@@ -12,7 +12,7 @@ each pair undoes it, so roles and texts come back exactly.
 
 Cases: null role or text is empty; turns sort by (turn, role, text), nulls
 first, so ties and repeated rows have one order and all stay; a null conv_id
-is a conversation of its own; other columns are ignored. A conversation is one
+is a conversation of its own; other columns are ignored; an empty table gives no rows. A conversation is one
 output row, so it must fit in a row (2 GB), as the result asks for.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import read
@@ -43,12 +43,13 @@ def unescape(c: Column) -> Column:
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_spans: array of (start, length) in code points, from 0, over assistant parts."""
+    """conv_id, formatted, n_messages, loss_spans: array of (start, length) in code points and in bytes, from 0, over assistant parts."""
     turns = rows.select("conv_id", F.struct("turn", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in BLANK]).alias("t"))
     turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    esc = turns.select("conv_id", F.transform("t", lambda x: F.struct(escape(x["role"]).alias("role"), escape(x["text"]).alias("text"))).alias("t"))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  else an array is made anew for each element that a lambda takes from it
+    esc = turns.select("conv_id", once(F.transform("t", lambda x: F.struct(escape(x["role"]).alias("role"), escape(x["text"]).alias("text")))).alias("t"))
     # A message starts where the role changes; its parts are the turns up to the next start.
-    heads = esc.withColumn("heads", F.expr("filter(sequence(0, size(t) - 1), i -> i = 0 or t[i].role <> t[i - 1].role)"))
+    heads = esc.select("conv_id", "t", once(F.expr("filter(sequence(0, size(t) - 1), i -> i = 0 or t[i].role <> t[i - 1].role)")).alias("heads"))
     messages = heads.select("conv_id", F.expr(
         "transform(heads, (h, k) -> named_struct('role', t[h].role, 'parts', "
         "transform(slice(t, h + 1, coalesce(try_element_at(heads, k + 2), size(t)) - h), x -> x.text)))").alias("m"))
@@ -58,12 +59,15 @@ def format_chats(rows: DataFrame) -> DataFrame:
             array(named_struct('s', concat('{START}', x.role), 'loss', false)),
             flatten(transform(x.parts, p -> array(named_struct('s', '{TEXT}', 'loss', false), named_struct('s', p, 'loss', x.role = 'assistant')))),
             array(named_struct('s', '{END}', 'loss', false)))))""").alias("p"))
-    spans = F.expr("""
-        aggregate(p, named_struct('at', 0L, 'out', cast(array() as array<struct<start: bigint, length: bigint>>)),
-            (a, x) -> named_struct('at', a.at + length(x.s),
-                'out', if(x.loss, concat(a.out, array(named_struct('start', a.at, 'length', cast(length(x.s) as bigint)))), a.out)),
-            a -> a.out)""")
-    return pieces.select("conv_id", F.concat_ws("", F.col("p.s")).alias("formatted"), spans.alias("loss_spans"), "n_messages")
+    # A piece starts where all before it end; conversations stay where they were collected, so nothing is shuffled again.
+    before = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda n: F.coalesce(F.sum(n("x.s")).over(before), F.lit(0)).cast("long")
+    placed = pieces.select("conv_id", "n_messages", F.posexplode("p").alias("at", "x"))
+    placed = placed.select("conv_id", "n_messages", F.struct("at", "x.s", "x.loss", sums(F.length).alias("start"), sums(F.octet_length).alias("byte_start")).alias("q"))
+    q = placed.groupBy("conv_id").agg(F.first("n_messages").alias("n_messages"), F.sort_array(F.collect_list("q")).alias("q"))
+    span = lambda x: F.struct(x["start"], F.length(x["s"]).cast("long").alias("length"), x["byte_start"], F.octet_length(x["s"]).cast("long").alias("byte_length"))
+    spans = F.transform(F.filter("q", lambda x: x["loss"]), span)
+    return q.select("conv_id", F.concat_ws("", F.col("q.s")).alias("formatted"), spans.alias("loss_spans"), "n_messages")
 
 
 def read_back(chats: DataFrame) -> DataFrame:
@@ -74,9 +78,11 @@ def read_back(chats: DataFrame) -> DataFrame:
     turns = F.flatten(F.transform(body, lambda b: F.transform(
         F.slice(b, F.lit(2), F.greatest(F.size(b) - 1, F.lit(0))),
         lambda x: F.struct(unescape(b[0]).alias("role"), unescape(x).alias("text")))))
-    loss = F.concat_ws("", F.transform("loss_spans", lambda s: unescape(F.substring(
-        F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))))
-    return chats.withColumn("turns", turns).withColumn("loss", loss)
+    # By bytes, which are found without a walk from the start; exploded, so that the bytes are made once.
+    rows = chats.select("*", F.explode(F.array(F.encode("formatted", "UTF-8"))).alias("__bytes"))
+    loss = F.concat_ws("", F.transform("loss_spans", lambda s: unescape(F.decode(F.substring(
+        F.col("__bytes"), (s["byte_start"] + 1).cast("int"), s["byte_length"].cast("int")), "UTF-8"))))
+    return rows.withColumn("turns", turns).withColumn("loss", loss).drop("__bytes")
 
 
 def op2_chat_format(spark, sf_dir: str) -> DataFrame:
