@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import keyed, read, table
+from quern.llm.common import begin, keyed, read, table
 from quern.llm.pieces import in_turns, word_cache, word_chunks
 
 CAPACITY, END, SALTS = 4096, 1, 256
@@ -35,6 +35,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, tokens: bool =
     """doc_id, th, piece, start, length, ids_crc32 and, if asked for, ids: one row per piece."""
 
     def run(batches):
+        begin("packing")
         cache = word_cache(path)
         end = np.array([END], "<u4").tobytes()
         for b in batches:

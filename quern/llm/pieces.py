@@ -11,7 +11,9 @@ from unicodedata import is_normalized
 
 import numpy as np
 
-CACHE_CHUNKS = 1_000_000  # about 200 MB a worker
+from quern.llm.common import holder
+
+CACHE_CHUNKS = 300_000  # about 60 MB a worker
 TEXT_CHARS = 2_000_000  # texts handled at once
 
 
@@ -60,6 +62,7 @@ def in_turns(texts: list[str], size: int = TEXT_CHARS):
 # ------------------------------------------------------- lower-case word BPE
 
 _words: dict = {}
+holder("packing", _words.clear)
 _MARKS = ".,!?;:#$%&*|<>"
 
 
