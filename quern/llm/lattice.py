@@ -9,6 +9,8 @@ that meet in a cell are compared by cosine in double precision.
 Equal vectors are one node with a count. Cells are compared in blocks of rows
 inside tasks (never as rows of a join), each pair counted once: in the first
 table and cell that both share. A cell of any size is dealt to pairs of blocks.
+Links aren't rows: of a pair of blocks each node gets one, with its count of
+links found there and the least node that these connect it with.
 
 Cases: a null label, a null or zero vector, one with null or non-finite
 components: no links. Vectors of unequal length don't meet. Repeated vec_ids are
@@ -98,7 +100,7 @@ def units(vectors: DataFrame) -> DataFrame:
                     continue
                 x = x / top  # no overflow or underflow in the norm
                 x = (x / np.sqrt((x * x).sum())).tobytes()
-                vid.append(xxhash.xxh3_128_digest(np.asarray(v, np.float64).tobytes() + str(label.as_py()).encode()))
+                vid.append(xxhash.xxh3_128_digest(len(v).to_bytes(8, "little") + np.asarray(v, np.float64).tobytes() + str(label.as_py()).encode()))
                 unit.append(x)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(vid, pa.binary()), pa.array(unit, pa.binary())], ["vec_id", "label", "vid", "unit"])
 
@@ -107,7 +109,7 @@ def units(vectors: DataFrame) -> DataFrame:
 
 
 def with_cells(nodes: DataFrame) -> DataFrame:
-    """cid, unit, keys (binary, all cells of a node); no cell holds two labels or dimensions."""
+    """cid, weight (n), unit, keys (binary, all cells of a node); no cell holds two labels or dimensions."""
 
     def run(batches):
         for b in batches:
@@ -121,9 +123,9 @@ def with_cells(nodes: DataFrame) -> DataFrame:
                     keys = cells(np.frombuffer(b"".join(data[k] for k in at), np.float64).reshape(len(at), -1))
                     keys = mix(keys ^ mix(label[at] + np.uint64(n))[:, None, None]).view(np.int64).reshape(len(at), -1)
                     take = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([b.column("cid").take(take), b.column("unit").take(take), pa.array([k.tobytes() for k in keys], pa.binary())], ["cid", "unit", "keys"])
+                    yield pa.RecordBatch.from_arrays([b.column("cid").take(take), b.column("n").take(take), b.column("unit").take(take), pa.array([k.tobytes() for k in keys], pa.binary())], ["cid", "weight", "unit", "keys"])
 
-    return nodes.select("cid", "label", "unit").mapInArrow(run, "cid long, unit binary, keys binary")
+    return nodes.select("cid", "n", "label", "unit").mapInArrow(run, "cid long, weight long, unit binary, keys binary")
 
 
 def cell_rows(celled: DataFrame) -> DataFrame:
@@ -142,7 +144,7 @@ def cell_rows(celled: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """a, b (a < b) of linked nodes, once each."""
+    """cid, to, w: nodes with links in a pair of blocks, a node that these connect it with (or itself), and how many vectors they lead to."""
     celled = table(with_cells(nodes), "celled")
     rows = cell_rows(celled)
     shared = rows.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
@@ -154,7 +156,7 @@ def links(nodes: DataFrame) -> DataFrame:
     dealt = dealt.select("cell", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine", "cid")
     with_units = dealt.join(celled, "cid")
     sorted_ = with_units.repartition(parts(nodes.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return sorted_.mapInArrow(_compare, "a long, b long")
+    return sorted_.mapInArrow(_compare, "cid long, to long, w long")
 
 
 def _groups(batches):
@@ -201,8 +203,28 @@ def _compare(batches):
                 same &= (u < cell)[:, :, None]
             first = ~same.any(axis=(1, 2))
             p, q = p[first], q[first]
-        a, b = cid[p], cid[q]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        if not len(p):
+            continue
+        weight = t.column("weight").to_numpy()
+        w = np.zeros(len(cid), np.int64)
+        np.add.at(w, p, weight[q])
+        np.add.at(w, q, weight[p])
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(cid[at]), pa.array(cid[_least(len(cid), p, q)[at]]), pa.array(w[at])], ["cid", "to", "w"])
+
+
+def _least(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least one that the links p-q connect it with."""
+    least = np.arange(n)
+    while True:
+        m = np.minimum(least[p], least[q])
+        new = least.copy()
+        np.minimum.at(new, p, m)
+        np.minimum.at(new, q, m)
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
@@ -210,13 +232,11 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     u = table(units(vectors), "units")
     nodes = u.filter("vid is not null").groupBy("vid").agg(F.first("label").alias("label"), F.first("unit").alias("unit"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
     nodes = table(nodes.withColumn("cid", F.monotonically_increasing_id()), "nodes")
-    edges = table(links(nodes), "links")
-    sizes = nodes.select("cid", "n")
-    both = edges.union(edges.select("b", "a"))
-    degree = both.join(sizes.withColumnRenamed("cid", "b"), "b").groupBy("a").agg(F.sum("n").alias("others"))
-    root = components(edges)
+    found = table(links(nodes), "links")
+    degree = found.groupBy("cid").agg(F.sum("w").alias("others"))
+    root = components(found.filter("cid <> to").select(F.col("cid").alias("a"), F.col("to").alias("b")))
     known = nodes.join(root, "cid", "left").select("cid", "vid", "n", "least", F.coalesce("root", "cid").alias("root"))
-    known = known.join(degree.withColumnRenamed("a", "cid"), "cid", "left").select("vid", "root", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    known = known.join(degree, "cid", "left").select("vid", "root", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     known = table(known, "roots")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = known.join(least, "root").select("vid", "n_links", "component_id")
