@@ -8,7 +8,9 @@ first-level partitions of 4 second-level ones and enumerates the 2-of-4 subsets:
 needs more signatures than differing shingles, a third of the words of every
 text: more rows than the text has bytes to spare.) Two sets of similarity 0.75
 share no signature with a chance of 3e-7, of 0.8 with 2e-9. Candidates are then
-verified on the whole shingle sets, by 100 * both >= 75 * either.
+verified on the whole shingle sets, by 100 * both >= 75 * either; those whose sketches
+rule that out (a similar pair is lost by it with a chance of under 1e-6) aren't, unless
+``exact`` asks for all.
 
 Cases: null and empty texts have an empty set and link with nothing; fewer than
 five words are one shingle; equal sets are one node, so copies cost nothing;
@@ -24,18 +26,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import keyed, read, same_key, table
-from quern.llm.neardup import part_enum, shingles, similar, sketch, texts_at, words_of
+from quern.llm.common import begin, keyed, read, table
+from quern.llm.neardup import part_enum, shingles, similar, sketch, texts_at
 
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, th, n_shingles, sid (128-bit hash of the set, null if empty), sketch."""
 
     def run(batches):
+        begin("jaccard")
         for b in batches:
             n, sid, sk = [], [], []
             for t in b.column("text"):
-                g = shingles(words_of(t.as_py()))
+                g = shingles(t.as_py())
                 n.append(len(g))
                 sid.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
                 sk.append(sketch(g) if len(g) else None)
@@ -46,12 +49,12 @@ def features(docs: DataFrame) -> DataFrame:
 
 def _grams(batches):
     for b in batches:
-        grams = [shingles(words_of(t.as_py())).tobytes() for t in b.column("text")]
+        grams = [shingles(t.as_py()).tobytes() for t in b.column("text")]
         yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(grams, pa.binary())], ["cid", "grams"])
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, th, n_shingles, component_id, first (this row's set has the component's least place)."""
+def classes(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """doc_id, th, n_shingles, component_id, first (this row's set has the component's least place). exact: see ``neardup.similar``."""
     f = table(features(docs), "features")
     nodes = f.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("place"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"))
     nodes = table(nodes.withColumn("cid", F.monotonically_increasing_id()), "nodes")
@@ -60,7 +63,7 @@ def classes(docs: DataFrame) -> DataFrame:
         places = nodes.join(ids, "cid").select("cid", "place.doc_id", "place.th")
         return texts_at(keyed(docs), places).select("cid", "text").mapInArrow(_grams, "cid long, grams binary")
 
-    root = similar(nodes, part_enum, grams_of)
+    root = similar(nodes, part_enum, grams_of, exact)
     known = nodes.join(root, "cid", "left").select("sid", "place", "least", F.coalesce("root", "cid").alias("root"))
     known = table(known, "roots")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.min("place").alias("first"))

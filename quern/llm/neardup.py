@@ -13,36 +13,22 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import GOLD, bitmap, in_bitmap, mix, same_key, table
+from quern.llm.common import GOLD, bitmap, forget, in_bitmap, mix, table, word_hashes
 
 WORDS, COORDS, PERCENT = 5, 80, 75
 #: At similarity 0.75, 60 of 80 coordinates agree on average (deviation 3.9);
 #: under 33 has a chance of under 1e-10.
 MIN_AGREE = 33
-CACHE_WORDS = 400_000
 _MULTIPLY = mix(np.arange(1, COORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+def shingle_hashes(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the five-word shingles of words with the hashes h, in order; fewer words are one shingle."""
+    if not len(h):
         return h
-
-
-_hashes = _WordHashes()
-
-
-def shingle_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of the five-word shingles, in order; fewer words are one shingle."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array(list(map(_hashes.__getitem__, words)), np.uint64)
     n = min(WORDS, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
@@ -50,14 +36,14 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
     return mix(out)
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
-    return np.unique(shingle_hashes(words))
+def lowered(text: str) -> bytes:
+    """A text in UTF-8, A-Z in lower case."""
+    return text.encode("utf-8", "surrogatepass").lower()
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words of a text, A-Z in lower case, parted by ASCII blanks."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def shingles(text: str) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(word_hashes(lowered(text))[0]))
 
 
 def sketch(grams: np.ndarray) -> bytes:
@@ -157,10 +143,12 @@ def _with_both(pairs: DataFrame, values: DataFrame, col: str) -> DataFrame:
 
 
 def verify(pairs: DataFrame, grams_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Those pairs (a, b) whose sets have the similarity, exactly."""
+    """A table of those pairs (a, b) whose sets have the similarity, exactly."""
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     grams = table(grams_of(ids), "grams")
-    return _with_both(pairs, grams, "grams").mapInArrow(_linked, "a long, b long")
+    out = table(_with_both(pairs, grams, "grams").mapInArrow(_linked, "a long, b long"), "links")
+    forget(grams)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,7 +166,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = s.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u > v").distinct()
-        e = table(small, "edges")
+        old, e = e, table(small, "edges")
+        forget(old)
         new = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).collect()[0]
         if new == state:
             break
@@ -186,8 +175,12 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("cid"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
-def similar(nodes: DataFrame, signatures: Callable[[np.ndarray], np.ndarray], grams_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """cid, root for nodes (cid, sketch) that have a similar one."""
+def similar(nodes: DataFrame, signatures: Callable[[np.ndarray], np.ndarray], grams_of: Callable[[DataFrame], DataFrame], exact: bool = False) -> DataFrame:
+    """cid, root for nodes (cid, sketch) that have a similar one.
+
+    Pairs whose sketches agree too little to be similar, but for a stated chance, are dropped before
+    their sets are compared; with ``exact`` the sets of all pairs that share a signature are.
+    """
     sigs = signature_rows(nodes, signatures)
     shared = sigs.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
     hits = table(sigs.join(shared, "sig"), "hits")
@@ -196,17 +189,24 @@ def similar(nodes: DataFrame, signatures: Callable[[np.ndarray], np.ndarray], gr
     lead = led.groupBy("sig").agg(F.max_by("cid", F.struct("degree", "cid")).alias("lead"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tried = table(hits.join(lead, "sig").filter("cid <> lead").select(*pair("cid", "lead")).distinct(), "tried")
-    close = table(_with_both(tried, nodes, "sketch").mapInArrow(_agreeing, "a long, b long"), "close")
-    edges = table(verify(close, grams_of), "links")
+    close = tried
+    if not exact:
+        sketches = table(nodes.select("cid", "sketch").join(hits.select("cid").distinct(), "cid", "left_semi"), "sketches")
+        close = table(_with_both(tried, sketches, "sketch").mapInArrow(_agreeing, "a long, b long"), "close")
+        forget(sketches)
+    edges = verify(close, grams_of)
     root = components(edges)
     # Groups that one component doesn't hold: across their components, all that hasn't been tried.
     lab = hits.join(root, "cid", "left").select("sig", "cid", F.coalesce("root", "cid").alias("root"))
     mixed = lab.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2").select("sig", "n")
     rest = table(lab.join(mixed, "sig"), "mixed")
+    forget(hits)
     fine = table(fine_bits(grams_of(rest.select("cid").distinct())), "fine")
     own = rest.groupBy("cid").agg(F.collect_set("sig").alias("sigs"))  # as many as a node has signatures at most
-    cross = _across(rest.join(fine, "cid").join(own, "cid")).join(tried, ["a", "b"], "left_anti")
-    more = verify(table(cross, "cross"), grams_of)
+    cross = _across(rest.join(fine, "cid").join(own, "cid"), FINE if exact else MOST_DIFFER).join(tried, ["a", "b"], "left_anti")
+    cross = table(cross, "cross")
+    forget(rest, fine)
+    more = verify(cross, grams_of)
     return components(edges.union(more))
 
 
@@ -235,7 +235,7 @@ def fine_bits(grams: DataFrame) -> DataFrame:
     return grams.mapInArrow(run, "cid long, size long, " + ", ".join(f"{q} long" for q in _BITS))
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, most_differ: int = MOST_DIFFER) -> DataFrame:
     """Pairs (a, b) of one signature and different roots that can be similar; others are never rows.
 
     rows: sig, n (rows of sig), cid, root, sigs (all of cid), size and bits. Sizes must allow the
@@ -251,7 +251,7 @@ def _across(rows: DataFrame) -> DataFrame:
     differ = " + ".join(f"bit_count({q} ^ {q}_)" for q in _BITS)
     on = F.expr(
         f"l.sig = r.sig and l.block = r.block and root < root_ and 100 * least(size, size_) >= {PERCENT} * greatest(size, size_) "
-        f"and {differ} <= {MOST_DIFFER} and array_min(array_intersect(sigs, sigs_)) = l.sig")
+        f"and {differ} <= {most_differ} and array_min(array_intersect(sigs, sigs_)) = l.sig")
     return left.alias("l").join(other.alias("r"), on).select(F.least("cid", "cid_").alias("a"), F.greatest("cid", "cid_").alias("b"))
 
 
