@@ -22,7 +22,6 @@ first; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from functools import partial
 
 import numpy as np
@@ -31,29 +30,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import keyed, read, table
-from quern.llm.neardup import WORDS, band, shingle_hashes, shingles, similar, sketch, texts_at, tune_bands, words_of
+from quern.llm.common import begin, forget, keyed, read, table, word_hashes
+from quern.llm.neardup import WORDS, band, lowered, shingle_hashes, shingles, similar, sketch, texts_at, tune_bands
 
 MIN_WORDS, RECALL = 20, 0.998
 BLOCK = 25
-_WORD = re.compile(r"[^ \t\n\v\f\r]+")
+
+
+def lines_of(data: bytes, least: int):
+    """(line number, its first byte, hashes, starts and stops of its words) of each line of so many words or more.
+
+    data: a text with A-Z in lower case. Places are bytes of the text.
+    """
+    h, start, stop = word_hashes(data)
+    ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), len(data))
+    last = np.searchsorted(start, ends)
+    first = np.concatenate([[0], last[:-1]])
+    for n in np.flatnonzero(last - first >= least).tolist():
+        i, j = first[n], last[n]
+        yield n, int(ends[n - 1]) + 1 if n else 0, h[i:j], start[i:j], stop[i:j]
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th, line, sid, sketch of each paragraph."""
 
     def run(batches):
+        begin("substring")
         for b in batches:
             at, line, sid, sk = [], [], [], []
             for k, t in enumerate(b.column("text")):
-                for n, p in enumerate(t.as_py().split("\n")):
-                    words = words_of(p)
-                    if len(words) >= min_words:
-                        g = shingles(words)
-                        at.append(k)
-                        line.append(n)
-                        sid.append(xxhash.xxh3_128_digest(g.tobytes()))
-                        sk.append(sketch(g))
+                for n, _, h, _, _ in lines_of(lowered(t.as_py()), min_words):
+                    g = np.unique(shingle_hashes(h))
+                    at.append(k)
+                    line.append(n)
+                    sid.append(xxhash.xxh3_128_digest(g.tobytes()))
+                    sk.append(sketch(g))
             i = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(i), b.column("th").take(i), pa.array(line, pa.int32()), pa.array(sid, pa.binary()), pa.array(sk, pa.binary())], ["doc_id", "th", "line", "sid", "sketch"])
 
@@ -62,7 +73,7 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _grams(batches):
     for b in batches:
-        grams = [shingles(words_of(t.as_py().split("\n")[n.as_py()])).tobytes() for t, n in zip(b.column("text"), b.column("line"), strict=True)]
+        grams = [shingles(t.as_py().split("\n")[n.as_py()]).tobytes() for t, n in zip(b.column("text"), b.column("line"), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(grams, pa.binary())], ["cid", "grams"])
 
 
@@ -72,6 +83,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, recall: float = RECALL
     place = F.struct("doc_id", "th", "line")
     nodes = p.groupBy("sid").agg(F.min(place).alias("place"), F.first("sketch").alias("sketch"))
     nodes = table(nodes.withColumn("cid", F.monotonically_increasing_id()), "nodes")
+    full, p = p, table(p.drop("sketch"), "paragraphs")
+    forget(full)
 
     def grams_of(ids: DataFrame) -> DataFrame:
         places = nodes.join(ids, "cid").select("cid", "place.doc_id", "place.th", "place.line")
@@ -96,27 +109,27 @@ def block_starts(h: np.ndarray) -> np.ndarray:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, th, line, start, stop (characters of the line, the blanks after it too), key of each block."""
+    """doc_id, th, line, start, stop (bytes of the line, the blanks after it too), key of each block."""
 
     def run(batches):
+        begin("substring")
         for b in batches:
             at, line, start, stop, key = [], [], [], [], []
             for k, t in enumerate(b.column("text")):
-                for n, p in enumerate(t.as_py().split("\n")):
-                    words = words_of(p)
-                    if len(words) < 2 * BLOCK - 1:
-                        continue
-                    h = shingle_hashes(words)
-                    place = [m.start() for m in _WORD.finditer(p)] + [len(p)]
+                data = lowered(t.as_py())
+                for n, begin, h, first, last in lines_of(data, 2 * BLOCK - 1):
+                    g = shingle_hashes(h)
+                    # A block's blanks go with it: it ends where the next word starts, or at the line's last word.
+                    ends = np.append(first, last[-1])
                     own = set()
-                    for i in block_starts(h).tolist():
-                        x = xxhash.xxh3_128_digest(h[i : i + BLOCK - WORDS + 1].tobytes())
+                    for i in block_starts(g).tolist():
+                        x = xxhash.xxh3_128_digest(g[i : i + BLOCK - WORDS + 1].tobytes())
                         if x not in own:
                             own.add(x)
                             at.append(k)
                             line.append(n)
-                            start.append(place[i])
-                            stop.append(place[i + BLOCK])
+                            start.append(int(first[i]) - begin)
+                            stop.append(int(ends[i + BLOCK]) - begin)
                             key.append(x)
             i = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -142,41 +155,41 @@ def kept_text(text: str, removed: list[int], spans: list[dict]) -> tuple[str, in
     for s in spans:
         by_line.setdefault(s["line"], []).append((s["start"], s["stop"]))
     for n, ranges in by_line.items():
-        out, end = [], 0
+        data, out, end = lines[n].encode("utf-8", "surrogatepass"), [], 0
         for start, stop in sorted(ranges):
-            out.append(lines[n][end : max(start, end)])
-            n_cut += max(0, stop - max(start, end))
+            out.append(data[end : max(start, end)])
             end = max(end, stop)
-        lines[n] = "".join(out) + lines[n][end:]
+        rest = (b"".join(out) + data[end:]).decode("utf-8", "surrogatepass")
+        n_cut += len(lines[n]) - len(rest)
+        lines[n] = rest
     drop = set(removed)
     return "\n".join(x for n, x in enumerate(lines) if n not in drop), n_cut
 
 
-def _kept(batches):
-    for b in batches:
-        out = [kept_text(t.as_py(), r.as_py(), s.as_py()) for t, r, s in zip(b.column("text"), b.column("removed"), b.column("spans"), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("n_lines"), b.column("n_removed"), b.column("removed"), pa.array([n for _, n in out], pa.int64()), pa.array([t for t, _ in out], pa.string())],
-            ["doc_id", "n_lines", "n_removed", "removed", "n_cut", "kept_text"])
+def _kept(texts: pa.Array, removed: pa.Array, spans: pa.Array) -> pa.Array:
+    got = [(len(t), *kept_text(t, r or [], s or [])) for t, r, s in zip(texts.to_pylist(), removed.to_pylist(), spans.to_pylist(), strict=True)]
+    lost = [n - len(kept) for n, kept, _ in got]
+    return pa.StructArray.from_arrays([pa.array(lost, pa.int64()), pa.array([n for *_, n in got], pa.int64()), pa.array([k for _, k, _ in got], pa.string())], ["removed_chars", "n_cut", "kept_text"])
 
 
 def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, recall: float = RECALL) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (line numbers), n_cut (characters cut out of other lines), kept_text."""
+    """doc_id, removed_chars (all that goes), n_lines, n_removed, removed (line numbers), n_cut (characters cut out of other lines), kept_text."""
     lines = table(removals(docs, min_words, recall).select("doc_id", "th", "line").distinct(), "removed")
-    whole = lines.select("doc_id", "th", "line", F.lit(None).cast("struct<line:int,start:int,stop:int>").alias("span"))
+    gone = lines.select("doc_id", "th", "line", F.lit(None).cast("struct<line:int,start:int,stop:int>").alias("span"))
     part = cuts(docs, lines).distinct().select("doc_id", "th", F.lit(None).cast("int").alias("line"), F.struct("line", "start", "stop").alias("span"))
     # As many as the text has lines and blocks.
-    gone = whole.union(part).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("line")).alias("removed"), F.collect_list("span").alias("spans"))
+    gone = gone.union(part).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("line")).alias("removed"), F.collect_list("span").alias("spans"))
     gone = gone.withColumnsRenamed({"doc_id": "at_doc", "th": "at_th"})
     d = keyed(docs)
     out = d.join(gone, d["doc_id"].eqNullSafe(gone["at_doc"]) & (d["th"] == gone["at_th"]), "left")
-    out = out.select(
-        "doc_id", "text", F.expr("cast(size(split(text, '\n')) as long)").alias("n_lines"), F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed"),
-        F.coalesce("spans", F.expr("cast(array() as array<struct<line:int,start:int,stop:int>>)")).alias("spans"))
-    out = out.withColumn("n_removed", F.size("removed").cast("long"))
-    return out.mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, removed array<int>, n_cut long, kept_text string")
+    # Not deterministic for the optimiser, which would copy the call into filters on what it gives.
+    call = F.arrow_udf(_kept, "struct<removed_chars: long, n_cut: long, kept_text: string>").asNondeterministic()
+    out = out.select("doc_id", "text", F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed"), call("text", "removed", "spans").alias("m"))
+    return out.select(
+        "doc_id", "m.removed_chars", F.expr("cast(size(split(text, '\n')) as long)").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
+        "removed", "m.n_cut", "m.kept_text")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup_paragraphs(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed", "removed", "n_cut", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "removed_chars", F.col("n_removed").alias("removed_lines"), F.col("n_cut").alias("cut_chars"), "removed", F.sha2("kept_text", 256).alias("kept_sha256"))
