@@ -17,8 +17,12 @@ The plain form of the method, with a whole collection in one order and a round
 for each byte of its longest text, takes as many passes over all data as that text
 has bytes; here rounds are bounded by the 736 columns around an anchor, and the
 collections of different anchors are built side by side. An anchor with more than
-SMALL strings is not given to one task: ranges of its windows, then single ones where
-that doesn't tell, are hashed (128 bits) and counted by Spark, which has the same result.
+SMALL strings is split by the symbols next to it: its windows are halved by the column
+where they start; all windows of a half hold certain columns whole (those after its last
+start, up to the end of its first window), so strings that differ there go to different
+parts. Equal pieces of a part are one, with a count. Parts that are still too large are
+halved again, to single windows at most, whose parts hold one string each; all others
+are compared column-wise as above.
 
 Cases: null text is empty; texts of under 400 bytes have no window; every row is a
 document, so a repeated row repeats all its windows; a null id is kept as such; an
@@ -35,12 +39,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quern.llm.common import bitmap, keyed, mix, parts, read, table
+from quern.llm.common import begin, bitmap, keyed, mix, of_row, parts, read, table, whole
 from quern.llm.neardup import in_rows
 
-WINDOW, ANCHOR, SMALL, TOGETHER, CHUNK = 400, 64, 256, 4096, 1 << 22
+WINDOW, ANCHOR, SMALL, TOGETHER, CHUNK = 400, 64, 1024, 4096, 1 << 22
 _U = np.uint64
 
 
@@ -78,6 +81,7 @@ def runs(data: bytes, window: int = WINDOW, anchor: int = ANCHOR):
 
 def run_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     def run(batches):
+        begin("suffix")
         for b in batches:
             for k, t in enumerate(b.column("text")):
                 v, hs, a, p1, p2 = runs(t.as_py().encode("utf-8", "surrogatepass"), window, anchor)
@@ -94,13 +98,13 @@ def column_wise(strings: list[bytes], leads: np.ndarray, window: int, anchor: in
     leads: bytes before a string's anchor, which stands in column window - anchor.
     """
     n, left = len(strings), window - anchor
-    width = left + window
     first = left - leads
     length = np.array([len(s) for s in strings])
     last = first + length - window  # the last window's column
     marks = np.zeros((n, left + 1), bool)
+    least, width = int(first.min()), int((first + length).max())
     with tempfile.TemporaryFile(dir=os.environ.get("TMPDIR") or None) as columns:
-        for at in range(0, width, 64):  # written once, column after column
+        for at in range(least, width, 64):  # written once, column after column
             block = np.full((64, n), 256, "<u2")
             for i, s in enumerate(strings):
                 lo, hi = max(first[i], at), min(first[i] + length[i], at + 64)
@@ -109,8 +113,8 @@ def column_wise(strings: list[bytes], leads: np.ndarray, window: int, anchor: in
             columns.write(block.tobytes())
         order = np.arange(n)
         lcp = np.zeros(n + 1, np.int32)  # lcp[k]: of order[k - 1] and order[k]
-        for c in range(width - 1, -1, -1):  # read once, from the last column to the first
-            columns.seek(c * n * 2)
+        for c in range(width - 1, least - 1, -1):  # read once, from the last column to the first
+            columns.seek((c - least) * n * 2)
             symbol = np.frombuffer(columns.read(n * 2), "<u2")[order]
             by = np.argsort(symbol, kind="stable")
             starts = np.flatnonzero(np.concatenate([[True], symbol[by][1:] != symbol[by][:-1]]))
@@ -160,11 +164,26 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 yield pa.RecordBatch.from_arrays([*(pa.array(r[k]) for k in names[:4]), pa.array(r["a"] - r["p1"]), pa.array(s, pa.binary())], names)
 
     texts = table(held.mapInArrow(cut, "v long, hs long, n long, d long, lead long, s binary").dropDuplicates(["v", "hs"]), "texts")
+    left = window - anchor
+    whole = strings.filter("n > 1").select("v", "hs", F.expr(f"cast(array(named_struct('s', 0L, 'e', at.p2 - at.p1)) as {SPANS})").alias("spans"))
+    few = texts.filter(F.col("d") <= SMALL).select("n", F.struct("v", "hs").alias("f"), F.col("v").alias("g"), (left - F.col("lead")).alias("lo"), "s")
+    found = _compared(few, window, anchor, "struct<v: long, hs: long>").select("f.*", F.expr("transform(spans, x -> named_struct('s', x.s - lo, 'e', x.e - lo))").alias("spans"))
+    repeated = whole.union(found)
+    many = texts.filter(F.col("d") > SMALL).select("v", "hs", "n", (left - F.col("lead")).alias("first"), (left - F.col("lead")).alias("lo"), "s")
+    for part in _split(many, window, anchor):
+        repeated = repeated.union(part)
+    repeated = table(repeated, "repeated")
+    return occ.join(repeated, ["v", "hs"]).select("doc_id", "th", "p1", "spans")
+
+
+def _compared(rows: DataFrame, window: int, anchor: int, kind: str) -> DataFrame:
+    """f, lo, spans (columns) of the strings (n, f, g, lo: first window's column, s) with n = 1 that share windows with others of group g."""
+    left = window - anchor
 
-    def compare(batches):
+    def run(batches):
         rows: list = []
         for b in batches:
-            rows += zip(*(b.column(c).to_pylist() for c in ("v", "hs", "n", "lead", "s")), strict=True)
+            rows += zip(*(b.column(c).to_pylist() for c in ("g", "f", "n", "lo", "s")), strict=True)
             while len(rows) >= TOGETHER:
                 end = next((k for k in range(len(rows) - 1, 0, -1) if rows[k][0] != rows[k - 1][0]), 0)
                 if not end:
@@ -175,111 +194,92 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
             yield found(rows)
 
     def found(rows):
-        v, hs, n, lead, s = zip(*rows, strict=True)
-        marks = column_wise(list(s), np.array(lead), window, anchor)
-        first = window - anchor - np.array(lead)
+        _, f, n, lo, s = zip(*rows, strict=True)
+        marks = column_wise(list(s), left - np.array(lo), window, anchor)
         keep = [k for k in range(len(rows)) if n[k] == 1 and marks[k].any()]
-        spans = [_spans(marks[k, first[k] : first[k] + len(s[k]) - window + 1]) for k in keep]
-        return pa.RecordBatch.from_arrays([pa.array([v[k] for k in keep], pa.int64()), pa.array([hs[k] for k in keep], pa.int64()), pa.array(spans, _SPANS)], ["v", "hs", "spans"])
-
-    few = texts.filter(F.col("d") <= SMALL)
-    n_parts = max(parts(docs.sparkSession), few.count() // TOGETHER)
-    compared = few.repartition(n_parts, "v").sortWithinPartitions("v").mapInArrow(compare, f"v long, hs long, spans {SPANS}")
-
-    many = texts.filter(F.col("d") > SMALL).drop("d")
-    counted = [] if many.isEmpty() else _counted(many, window)
-    whole = strings.filter("n > 1").select("v", "hs", F.expr(f"cast(array(named_struct('s', 0L, 'e', at.p2 - at.p1)) as {SPANS})").alias("spans"))
-    repeated = whole.union(compared)
-    for c in counted:
-        repeated = repeated.union(c)
-    repeated = table(repeated, "repeated")
-    return occ.join(repeated, ["v", "hs"]).select("doc_id", "th", "p1", "spans")
-
+        spans = [_spans(marks[k]) for k in keep]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for k in keep], pa_kind), pa.array([lo[k] for k in keep], pa.int64()), pa.array(spans, _SPANS)], ["f", "lo", "spans"])
 
-LEVELS = (64, 8, 1)
+    pa_kind = pa.binary() if kind == "binary" else pa.struct([("v", pa.int64()), ("hs", pa.int64())])
+    n_parts = max(parts(rows.sparkSession), rows.count() // TOGETHER)
+    return rows.repartition(n_parts, "g").sortWithinPartitions("g").mapInArrow(run, f"f {kind}, lo long, spans {SPANS}")
 
 
-def _ranges(width: int, window: int):
-    """For mapInArrow: a row for each aligned range of ``width`` windows (by distance i to the anchor) that a string's open ranges meet.
+def _cut_at(width: int, window: int):
+    """For mapInArrow: a row for each aligned range of ``width`` columns where windows of a string start, with the bytes of these windows.
 
-    c is the hash of the bytes that all windows of the range share, f that of all bytes
-    of those that the string has.
+    g is of the anchor, the range and the bytes that all windows of the range hold; f of all the row's bytes too.
     """
 
-    def hashed_ranges(batches):
+    def run(batches):
+        names = ["v", "hs", "n", "first", "lo", "s", "g", "f"]
         for b in batches:
-            rows = []
-            for v, hs, n, lead, s, open_ in zip(*(b.column(c).to_pylist() for c in ("v", "hs", "n", "lead", "s", "open")), strict=True):
-                least = lead - (len(s) - window)
-                for k in sorted({k for o in open_ for k in range(o["s"] // width, o["e"] // width + 1)}):
-                    i0, i1 = k * width, (k + 1) * width - 1
-                    lo, hi = max(i0, least), min(i1, lead)
-                    if lo <= hi:
-                        c = s[lead - i0 if i0 <= lead else 0 : lead - i1 + window]
-                        rows.append((v, hs, n, lo, hi, xxhash.xxh3_128_digest(c + bytes([k & 255])), xxhash.xxh3_128_digest(s[lead - hi : lead - lo + window] + bytes([lo - i0, hi - i0]))))
-            cols = zip(*rows, strict=True) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, [pa.int64()] * 5 + [pa.binary()] * 2, strict=True)], ["v", "hs", "n", "lo", "hi", "c", "f"])
-
-    return hashed_ranges
-
-
-def _counted(many: DataFrame, window: int) -> list[DataFrame]:
-    """v, hs, spans of repeated windows, for strings of anchors that have too many for one task.
-
-    From wide ranges of windows to single ones: where what a range's windows share is
-    found once, none of them is repeated; where all its bytes are found twice, all are;
-    the rest, with all strings it may meet, goes to the next level.
-    """
-    state = many.withColumn("open", F.expr(f"array(named_struct('s', lead - (length(s) - {window}), 'e', lead))"))
-    out = []
-    for width in LEVELS:
-        rows = table(state.mapInArrow(_ranges(width, window), "v long, hs long, n long, lo long, hi long, c binary, f binary"), "ranges")
-        twice = rows.groupBy("f").agg(F.count("*").alias("k")).filter("k > 1").select("f", F.lit(True).alias("whole"))
-        rows = table(rows.join(twice, "f", "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "ranges")
-        done = rows.filter("whole and n = 1").groupBy("v", "hs").agg(F.collect_list(F.struct(F.col("lo").alias("s"), F.col("hi").alias("e"))).alias("i"))
-        out.append(done.join(many.select("v", "hs", "lead"), ["v", "hs"]).select("v", "hs", F.expr("transform(i, x -> named_struct('s', lead - x.e, 'e', lead - x.s))").alias("spans")))
-        meet = rows.groupBy("c").agg(F.count("*").alias("k"), F.min("whole").alias("all")).filter("k > 1 and not all").select("c")
-        open_ = rows.join(meet, "c").groupBy("v", "hs").agg(F.collect_list(F.struct(F.col("lo").alias("s"), F.col("hi").alias("e"))).alias("open"))
-        state = many.join(open_, ["v", "hs"])
+            out = []
+            for v, hs, n, first, lo, s in zip(*(b.column(c).to_pylist() for c in names[:6]), strict=True):
+                last = lo + len(s) - window
+                for k in range(lo // width, last // width + 1):
+                    c1, c2 = k * width, (k + 1) * width - 1
+                    i, j = max(c1, lo), min(c2, last)
+                    own = s[i - lo : j + window - lo]
+                    g = xxhash.xxh3_128_digest(np.array([v, width, k], "<i8").tobytes() + s[c2 - lo : c1 + window - lo])
+                    out.append((v, hs, n, first, i, own, g, xxhash.xxh3_128_digest(g + np.array([i, j], "<i8").tobytes() + own)))
+            cols = zip(*out, strict=True) if out else [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, [pa.int64()] * 5 + [pa.binary()] * 3, strict=True)], names)
+
+    return run
+
+
+def _split(many: DataFrame, window: int, anchor: int) -> list[DataFrame]:
+    """v, hs, spans of repeated windows, for strings (v, hs, n, first: its column, lo, s) of anchors that have too many for one task."""
+    out, width = [], window - anchor + 1
+    while width > 1 and not many.isEmpty():
+        width = (width + 1) // 2
+        rows = table(many.mapInArrow(_cut_at(width, window), "v long, hs long, n long, first long, lo long, s binary, g binary, f binary"), "ranges")
+        # Equal pieces are one: copies of a hot passage shrink to a row before they are compared.
+        items = rows.groupBy("g", "f").agg(F.sum("n").alias("n"), F.first(F.struct("lo", "s")).alias("x"))
+        items = table(items.select("g", "f", "n", "x.lo", "x.s"), "pieces")
+        sizes = items.groupBy("g").agg(F.count("*").alias("d"))
+        whole = items.filter("n > 1").select("f", F.expr(f"cast(array(named_struct('s', lo, 'e', lo + length(s) - {window})) as {SPANS})").alias("spans"))
+        few = items.join(sizes.filter(f"d > 1 and d <= {SMALL}"), "g").select("n", "f", "g", "lo", "s")
+        found = table(whole.union(_compared(few, window, anchor, "binary").select("f", "spans")), "found")
+        out.append(rows.select("v", "hs", "first", "f").join(found, "f").select("v", "hs", F.expr("transform(spans, x -> named_struct('s', x.s - first, 'e', x.e - first))").alias("spans")))
+        many = rows.join(sizes.filter(f"d > {SMALL}"), "g", "left_semi").select("v", "hs", "n", "first", "lo", "s")
     return out
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, as_text: bool = False) -> DataFrame:
     """The rows of docs with n_bytes, n_removed, n_spans (long) and kept (binary, or text without characters cut in two)."""
     spans = repeated_spans(docs, window, anchor)
-    per_doc = spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list(F.expr("transform(spans, x -> named_struct('s', p1 + x.s, 'e', p1 + x.e))"))).alias("__cut"))
-    per_doc = per_doc.withColumnsRenamed({"doc_id": "__doc", "th": "__hash"})
-    d = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = d.join(per_doc, d["doc_id"].eqNullSafe(per_doc["__doc"]) & (d["__th"] == per_doc["__hash"]), "left").drop("__doc", "__hash", "__th")
-
-    def text_of(kept: list[bytes]) -> pa.Array:
-        return pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-
-    def run(batches):
-        for b in batches:
-            col = b.schema.get_field_index("text")
-            n, gone, count, kept = [], [], [], []
-            for t, cut in zip(b.column(col), b.column(b.num_columns - 1), strict=True):
-                data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                n.append(len(data))
-                if not cut.is_valid:
-                    gone.append(0)
-                    count.append(0)
-                    kept.append(data)
-                    continue
-                s, e = (x.to_numpy() for x in cut.values.flatten())
-                edge = np.zeros(len(data) + 1, np.int64)
-                np.add.at(edge, s, 1)
-                np.add.at(edge, e + window, -1)
-                out = np.cumsum(edge[:-1]) > 0
-                gone.append(int(out.sum()))
-                count.append(int((np.diff(np.concatenate([[0], out.astype(np.int8)])) == 1).sum()))
-                kept.append(np.frombuffer(data, np.uint8)[~out].tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(x, pa.int64()) for x in (n, gone, count)), text_of(kept)], [*b.schema.names[:-1], "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
-    return joined.mapInArrow(run, schema)
+    per_doc = spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list(F.expr("transform(spans, x -> named_struct('s', p1 + x.s, 'e', p1 + x.e))"))).alias("cut"))
+    per_doc = per_doc.withColumnsRenamed({"doc_id": "at_doc", "th": "at_th"})
+    d = whole(docs, doc_id=F.col("doc_id"), th=F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = d.join(per_doc, d["doc_id"].eqNullSafe(per_doc["at_doc"]) & (d["th"] == per_doc["at_th"]), "left")
+    added = ["n_bytes", "n_removed", "n_spans", "kept"]
+
+    def run(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+        n, gone, count, kept = [], [], [], []
+        for t, cut in zip(texts, cuts, strict=True):
+            data = (t.as_py() or "").encode("utf-8", "surrogatepass")
+            n.append(len(data))
+            if not cut.is_valid:
+                gone.append(0)
+                count.append(0)
+                kept.append(data)
+                continue
+            s, e = (x.to_numpy() for x in cut.values.flatten())
+            edge = np.zeros(len(data) + 1, np.int64)
+            np.add.at(edge, s, 1)
+            np.add.at(edge, e + window, -1)
+            out = np.cumsum(edge[:-1]) > 0
+            gone.append(int(out.sum()))
+            count.append(int((np.diff(np.concatenate([[0], out.astype(np.int8)])) == 1).sum()))
+            kept.append(np.frombuffer(data, np.uint8)[~out].tobytes())
+        last = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        return pa.StructArray.from_arrays([*(pa.array(x, pa.int64()) for x in (n, gone, count)), last], added)
+
+    # Not deterministic for the optimiser, which would copy the call into filters on what it gives.
+    call = F.arrow_udf(run, f"struct<n_bytes: long, n_removed: long, n_spans: long, kept: {'string' if as_text else 'binary'}>").asNondeterministic()
+    return joined.select("row", call(F.col("row.text"), F.col("cut")).alias("m")).select(*of_row(docs), *[F.col(f"m.{c}").alias(c) for c in added])
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
