@@ -4,6 +4,13 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written a
 Parquet and read again as the next one's docs. A stage first deletes the scratch tables
 of the one before, so run one pipeline at a time in a session. All but the last return the columns
 of documents; texts that a stage rewrites have their n_chars set anew.
+
+Cases, in every stage: a null text is empty (the base rules reject it; where it stays, it stays
+null); a null id is an id like any other; rows that repeat id and text are one document, of which the
+third stage keeps one row and the others all; ties are broken by (doc_id, text hash); an empty table
+gives an empty one; other columns come through whatever their names, but those that the stage's
+operator adds (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines,
+n_removed, n_spans, kept_text, n_bytes).
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import jaccard, line_dedup, packing, quality, suffix
-from quern.llm.common import read, release, table
+from quern.llm.common import of_row, read, release, table, whole
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +44,11 @@ def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least (doc_id, text hash) stays."""
     release(spark)
-    stays = jaccard.classes(docs).filter("first").select(F.col("doc_id").alias("__doc"), F.col("th").alias("__hash")).distinct()
-    d = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    stays = jaccard.classes(docs).filter("first").select(F.col("doc_id").alias("at_doc"), F.col("th").alias("at_th")).distinct()
+    d = whole(docs, doc_id=F.col("doc_id"), th=F.xxhash64(F.coalesce("text", F.lit(""))))
     # Rows that repeat id and text are one document: one row of them stays.
-    kept = d.join(stays, d["doc_id"].eqNullSafe(stays["__doc"]) & (d["__th"] == stays["__hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__th"]).select(*docs.columns)
+    kept = d.join(stays, d["doc_id"].eqNullSafe(stays["at_doc"]) & (d["th"] == stays["at_th"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "th"]).select(*of_row(docs))
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
