@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from fnmatch import translate as glob_pattern
 import re
 import time
@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.predicates import compile_predicate
-from quern.functions.text import words
+from quern.functions.text import all_text, words
 from quern.operators import search as s
+from quern.operators.replicated import journal_read
 from quern.plans.query import Page, QuerySpec, page, plan
 from quern.sources.tables import MapSchema, inferred
+from quern.streaming.live import LiveQuery
 
 
 class UnknownMap(LookupError):
@@ -28,11 +30,12 @@ class Engine:
         self.schemas: dict[str, MapSchema] = {}
         self.policies: list[tuple[re.Pattern, bool, Column]] = []
 
-    def register_map(self, name: str, df: DataFrame, schema: MapSchema | None = None) -> None:
+    def register_map(self, name: str, df: DataFrame, schema: MapSchema | None = None, view: str | None = None) -> None:
+        """A map by name; SQL sees it as the view (by default of the same name)."""
         self.maps[name] = df
         if schema:
             self.schemas[name] = schema
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(view or name)
 
     def allow(self, maps: str, condition: Column | None = None, deny: bool = False) -> None:
         """A policy on the maps that a glob names: rows under the condition are allowed, or denied."""
@@ -66,26 +69,34 @@ class Engine:
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text)
 
-    def search(self, name: str, fields: dict[str, float], query: str, limit: int = 10, min_score: float = 0.0) -> DataFrame:
-        return s.search(self.map(name), "_key", fields, query.lower().split(), limit, min_score)
+    def search(self, name: str, fields: dict[str, float] | None, query: str, limit: int = 10, min_score: float = 0.0) -> DataFrame:
+        """_key, score; without fields all strings of a row are one text."""
+        df, terms = self.map(name), query.lower().split()
+        if fields is None:
+            return s.bm25(df, "_key", words(all_text(df.drop("_key"))), terms, min_score).select("_key", "score").orderBy(F.desc("score"), "_key").limit(limit)
+        return s.search(df, "_key", fields, terms, limit, min_score)
 
-    def vector_search(self, name: str, column: str, query: Sequence[float], k: int = 10, metric: str = "cosine", min_score: float | None = None) -> DataFrame:
-        return s.nearest(self.map(name), "_key", column, query, k, metric, min_score)
+    def vector_search(
+        self, name: str, column: str, query: Sequence[float], k: int = 10, metric: str = "cosine", min_score: float | None = None, predicate=None, post_filter: bool = False,
+    ) -> DataFrame:
+        condition = None if predicate is None else compile_predicate(predicate)
+        return s.nearest(self.map(name), "_key", column, query, k, metric, min_score, condition, post_filter)
 
     def hybrid_search(self, name: str, predicate=None, text: tuple[str, str] | None = None, vector: tuple[str, Sequence[float]] | None = None, k: int = 10, min_score: float = 0.0) -> DataFrame:
         """_key, score, and the rows' values: exact matches (all of rank 1), full text and vectors, fused by rank."""
-        df, lists = self.map(name), []
-        if text:
-            lists.append(s.bm25(df.select("_key", words(F.col(text[0])).alias("t")), "_key", "t", text[1].lower().split()).orderBy(F.desc("score"), "_key").limit(k))
-        if vector:
-            lists.append(s.nearest(df, "_key", vector[0], vector[1], k).select("_key", "score"))
-        ranked = s.fused(lists, "_key", 2 * k) if lists else None
-        if predicate is not None:
-            exact = df.filter(compile_predicate(predicate)).select("_key", F.lit(1 / (s.RRF_K + 1)).alias("score"))
-            ranked = exact if ranked is None else ranked.union(exact).groupBy("_key").agg(F.sum("score").alias("score"))
-        best = ranked.filter(F.col("score") >= min_score).orderBy(F.desc("score"), "_key").limit(k)
+        df = self.map(name)
+        exact = None if predicate is None else compile_predicate(predicate)
+        best = s.hybrid(df, "_key", exact, (text[0], text[1].lower().split()) if text else None, vector, k, min_score)
         return best.join(df, "_key")
 
+    def journal_read(self, name: str, start: int = 0, limit: int = 100, kind: str | None = None, map_name: str | None = None) -> tuple[list, bool]:
+        """Events of a journal (a map with sequence, type, key, value) from a sequence on, and whether there are more."""
+        return journal_read(self.map(name), start, limit, kind, map_name)
+
+    def subscribe(self, stream: DataFrame, query: Callable[[DataFrame], DataFrame], schema: str, folder: str, checkpoint: str, **trigger):
+        """Start a standing query over a stream of change records; its events go to folder/events."""
+        return LiveQuery(self.spark, query, schema, folder).start(stream, checkpoint, **trigger)
+
     def describe(self, name: str) -> DataFrame:
         df = self.map(name)
         return inferred(df, df.columns)

@@ -15,6 +15,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.text import words
+
 Predicate = Mapping[str, Any]
 
 
@@ -41,6 +43,23 @@ def _between(c: Column, bounds, p: Predicate) -> Column:
     return low & (c <= bounds[1] if p.get("to_inclusive", True) else c < bounds[1])
 
 
+def _match(c: Column, text: str, p: Predicate) -> Column:
+    """A word of the text stands in the column; all of them with operator "and"."""
+    terms = _terms(text)
+    if not terms:
+        return F.lit(False)
+    return F.size(F.array_except(_array(terms), words(c))) == 0 if p.get("operator") == "and" else F.arrays_overlap(words(c), _array(terms))
+
+
+def _phrase(c: Column, text: str, p: Predicate) -> Column:
+    return F.concat(F.lit(" "), F.array_join(words(c), " "), F.lit(" ")).contains(f" {' '.join(_terms(text))} ")
+
+
+def _terms(text: str) -> list[str]:
+    """The words of a query, as ``words`` makes them of a column."""
+    return [t for t in re.split(r"[\W_]+", text.lower()) if 2 <= len(t) <= 40]
+
+
 #: Comparison and string tests by name; each takes the column, the value and the predicate.
 LEAVES: dict[str, Callable[[Column, Any, Predicate], Column]] = {
     "eq": lambda c, v, p: c == v,
@@ -65,6 +84,9 @@ LEAVES: dict[str, Callable[[Column, Any, Predicate], Column]] = {
     "textContainsAny": lambda c, v, p: reduce(lambda a, b: a | b, [F.lower(c).contains(x.lower()) for x in v], F.lit(False)),
     "startsWith": lambda c, v, p: c.startswith(v),
     "endsWith": lambda c, v, p: c.endswith(v),
+    "match": _match,
+    "matchPhrase": _phrase,
+    "matchPrefix": lambda c, v, p: F.exists(words(c), lambda t: t.startswith(v.lower())),
 }
 
 
@@ -77,6 +99,9 @@ def compile_predicate(p: Predicate, context: Mapping[str, Any] | None = None, un
     if op == "not":
         children = p.get("children", [])
         return ~compile_predicate(children[0], context, True) if children else F.lit(True)
+    if op == "multiMatch":
+        fields = [{**p, "op": "match", "attribute": a} for a in p["attributes"]]
+        return compile_predicate({"op": "or", "children": fields}, context, under_not or len(fields) > 1)
     value = p.get("value")
     if "value_ref" in p:
         ref = p["value_ref"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PARTITIONS = 271  # fixed value: a prime
@@ -16,6 +16,23 @@ def fnv1a(c: Column) -> Column:
 
 
 
+def mix32(c: Column) -> Column:
+    """A 32-bit finaliser (xor-shift and multiply) of a long that holds 32 bits."""
+    h = c
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, None)):
+        h = h.bitwiseXOR(F.shiftright(h, shift))
+        if factor:
+            # Two halves, so that no product leaves 64 bits.
+            low = h.bitwiseAND(F.lit(0xFFFF)) * F.lit(factor)
+            high = (F.shiftright(h, 16) * F.lit(factor)).bitwiseAND(F.lit(0xFFFF)) * F.lit(65536)
+            h = (low + high).bitwiseAND(F.lit(0xFFFFFFFF))
+    return h
+
+
+def combined_hash(c: Column) -> Column:
+    """An aggregate: the sum of mixed hashes, in 32 bits, whatever the order."""
+    return F.sum(mix32(c)).bitwiseAND(F.lit(0xFFFFFFFF))
+
 
 def partition_id(c: Column) -> Column:
     return F.pmod(fnv1a(c), F.lit(PARTITIONS)).cast("int")
@@ -29,10 +46,31 @@ def power_of_ten(c: Column) -> Column:
     return F.pow(F.lit(10.0), F.floor(F.log10(c)))
 
 
+def logarithmic(c: Column, base: float) -> Column:
+    """The greatest power of the base that isn't more than the value."""
+    return F.pow(F.lit(float(base)), F.floor(F.log(c) / F.log(F.lit(float(base)))))
+
+
 def time_interval(c: Column, millis: int) -> Column:
     return F.floor(F.unix_millis(c) / millis) * millis
 
 
+# ------------------------------------------------------------ neighbours in a sorted map
+
+
+def neighbours(df: DataFrame, column: str, value) -> DataFrame:
+    """One row: lower (<), floor (<=), ceiling (>=) and higher (>) of a value among a column's; null where there is none."""
+    c = F.col(column)
+    return df.agg(
+        F.max(F.when(c < value, c)).alias("lower"), F.max(F.when(c <= value, c)).alias("floor"),
+        F.min(F.when(c >= value, c)).alias("ceiling"), F.min(F.when(c > value, c)).alias("higher"))
+
+
+def at_place(df: DataFrame, column: str, place: int) -> DataFrame:
+    """The row at a place of the order by a column, from 0."""
+    return df.orderBy(column).offset(place).limit(1)
+
+
 # ------------------------------------------------------------ vectors
 
 

@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Common English words that search leaves out.
-STOPWORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+#: The English words that search leaves out.
+STOPWORDS = list(dict.fromkeys("""
+a an the i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them
+their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing will would
+shall should can could may might must ought about above across after against along among around at before behind below beneath beside between beyond
+by down during except for from in inside into near of off on onto out outside over past since through throughout to toward towards under underneath
+until up upon with within without and but or nor so yet both either neither not only as if than when while although because unless whether here there
+where when how why all each every any some no none more most other such own same too very just also now then again ever once few many much several s
+t d ll m ve re
+""".split()))
+
+
+# Tokenisers: a text column to an array of tokens.
 
 
 def words(c: Column, least: int = 2, most: int = 40) -> Column:
@@ -17,22 +32,75 @@ def words(c: Column, least: int = 2, most: int = 40) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: F.length(t).between(least, most))
 
 
-def without_stopwords(tokens: Column) -> Column:
-    return F.filter(tokens, lambda t: ~t.isin(STOPWORDS))
-
-
 def whitespace(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda t: t != "")
 
 
+def word_boundary(c: Column) -> Column:
+    """Runs of ASCII letters, digits and underscores."""
+    return F.filter(F.split(c, r"\W+"), lambda t: t != "")
+
+
 def ngrams(c: Column, n: int = 3) -> Column:
     return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+# Token filters: an array of tokens to another.
+
+
+def lowercase(tokens: Column) -> Column:
+    return F.transform(tokens, F.lower)
+
+
+def without_stopwords(tokens: Column) -> Column:
+    return F.filter(tokens, lambda t: ~t.isin(STOPWORDS))
+
+
+def at_least(tokens: Column, n: int = 2) -> Column:
+    return F.filter(tokens, lambda t: F.length(t) >= n)
+
+
+def at_most(tokens: Column, n: int = 50) -> Column:
+    return F.filter(tokens, lambda t: F.length(t) <= n)
+
+
+def trimmed(tokens: Column) -> Column:
+    """Without blanks at the ends; tokens of blanks only go."""
+    return F.filter(F.transform(tokens, lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t != "")
+
+
 def unique(tokens: Column) -> Column:
     return F.array_distinct(tokens)
 
 
+def pipeline(tokenizer: Callable[[Column], Column], *filters: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A tokeniser followed by filters, as one function of a text column."""
+    return lambda c: reduce(lambda tokens, f: f(tokens), filters, tokenizer(c))
+
+
+#: The ready-made pipelines.
+PIPELINES = {
+    "minimal": pipeline(word_boundary, lowercase),
+    "simple": pipeline(word_boundary, lowercase, at_least),
+    "search": pipeline(word_boundary, lowercase, at_least, without_stopwords),
+}
+
+
+def all_text(df: DataFrame) -> Column:
+    """Every string of a row, in nested fields too, joined by blanks."""
+
+    def leaves(c: Column, kind: T.DataType) -> list[Column]:
+        if isinstance(kind, T.StringType):
+            return [c]
+        if isinstance(kind, T.StructType):
+            return [x for f in kind.fields for x in leaves(c.getField(f.name), f.dataType)]
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+            return [F.array_join(c, " ")]
+        return []
+
+    return F.concat_ws(" ", *[x for f in df.schema.fields for x in leaves(F.col(f"`{f.name}`"), f.dataType)])
+
+
 # Porter's algorithm, after the published description.
 _STEP2 = dict(x.split(":") for x in "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble".split())
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
@@ -105,5 +173,40 @@ def stems(tokens: Column) -> Column:
 
 
 def search_tokens(c: Column) -> Column:
-    """Words without stopwords, stemmed."""
-    return stems(without_stopwords(words(c)))
+    """Words without stopwords, stemmed; the stems have 2 to 40 characters."""
+    return F.filter(stems(without_stopwords(words(c, most=2**31 - 1))), lambda t: F.length(t).between(2, 40))
+
+
+def fnv1a64(token: str) -> int:
+    h = 0xCBF29CE484222325
+    for b in token.encode():
+        h = (h ^ b) * 0x100000001B3 % 2**64
+    return h
+
+
+def embedded(c: Column, size: int = 64) -> Column:
+    """A bag of words as a unit vector: each token adds 1 or -1 (the hash's top bit) to the place its hash names.
+
+    A text without tokens that isn't blank counts as one token, always 1; a blank one is all zeros.
+    """
+
+    @F.pandas_udf("array<float>")
+    def run(s: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+
+        def one(text: str | None) -> np.ndarray | None:
+            if text is None:
+                return None
+            v = np.zeros(size, np.float32)
+            tokens = [t.lower() for t in re.split(r"[\W_]+", text) if t]
+            for t in tokens:
+                h = known[t] if t in known else known.setdefault(t, fnv1a64(t))
+                v[h % size] += -1 if h >> 63 else 1
+            if not tokens and text.strip():
+                v[fnv1a64(text.strip()) % size] = 1
+            norm = np.sqrt((v * v).sum())
+            return v / norm if norm else v
+
+        return s.map(one)
+
+    return run(c)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from quern.functions.predicates import compile_predicate, where
 
-CURSOR_MILLIS = 600_000
+CURSOR_MILLIS, SEARCH_CURSOR_MILLIS = 600_000, 300_000
 
 
 @dataclass(frozen=True)
@@ -107,6 +107,32 @@ def decode_cursor(spec: QuerySpec, now_millis: int) -> tuple[dict | None, str]:
     return (c, "valid") if c["h"] == shape_hash(spec) and len(c["v"]) == len(spec.sort) else (None, "invalid")
 
 
+def encode_search_cursor(query: str, score: float, key: Any, now_millis: int) -> str:
+    """The place of a hit in the results of a search: its score and key."""
+    body = json.dumps({"s": score, "k": key, "q": hashlib.sha256(query.encode()).hexdigest()[:16], "t": now_millis})
+    return base64.urlsafe_b64encode(body.encode()).decode().rstrip("=")
+
+
+def decode_search_cursor(cursor: str | None, query: str, now_millis: int) -> tuple[tuple[float, Any] | None, str]:
+    """(score, key) or None, and the cursor's status: none, expired, invalid or valid."""
+    if not cursor:
+        return None, "none"
+    try:
+        c = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))
+        place, same, age = (float(c["s"]), c["k"]), c["q"] == hashlib.sha256(query.encode()).hexdigest()[:16], now_millis - c["t"]
+    except (ValueError, KeyError, TypeError):
+        return None, "invalid"
+    if age > SEARCH_CURSOR_MILLIS:
+        return None, "expired"
+    return (place, "valid") if same else (None, "invalid")
+
+
+def furthest(places: Sequence[tuple[float, Any]]) -> tuple[float, Any]:
+    """Of the places that several partial results ended at, the one furthest down (score descending, key ascending)."""
+    lowest = min(score for score, _ in places)
+    return lowest, max(key for score, key in places if score == lowest)
+
+
 def rows(df: DataFrame, spec: QuerySpec, cursor: dict | None = None) -> DataFrame:
     """All of the query but limit and projection. df has a _key unless the query groups."""
     c = condition(spec)

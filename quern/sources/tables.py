@@ -88,6 +88,15 @@ def load(spark: SparkSession, sf_dir: str, name: str, keyed: bool = False) -> Da
     return with_key(df, KEYS[name]) if keyed else df
 
 
+def entries(df: DataFrame) -> DataFrame:
+    """key, value (JSON) of each row: the key is _key, else __key; a row without either gets a made one; a row's single _value stands for itself."""
+    held = [c for c in ("_key", "__key") if c in df.columns]
+    key = F.coalesce(*[F.col(c).cast("string") for c in held], F.concat(F.lit("row-"), F.monotonically_increasing_id().cast("string")))
+    rest = [c for c in df.columns if c not in ("_key", "__key")]
+    value = F.to_json(F.struct(*rest)) if rest != ["_value"] else F.col("_value").cast("string")
+    return df.select(key.alias("key"), value.alias("value"))
+
+
 def load_jdbc(spark: SparkSession, url: str, name: str, partition_column: str, lower: int, upper: int, partitions: int) -> DataFrame:
     """A table of a database, read in ranges of a numeric column."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=partition_column, lowerBound=lower, upperBound=upper, numPartitions=partitions).load()

@@ -9,23 +9,48 @@ version per batch, so that a batch that is run again gives the same events.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.replicated import last_write
 
 
-def changes(before: DataFrame, after: DataFrame, key: str = "_key") -> DataFrame:
-    """key, change (ENTER, UPDATE or LEAVE) and the new values (null for LEAVE)."""
+def changes(before: DataFrame, after: DataFrame, key: str = "_key", tolerance: float | None = None) -> DataFrame:
+    """key, change (ENTER, UPDATE or LEAVE) and the new values (null for LEAVE).
+
+    tolerance: a row whose score moved by no more than this, and nothing else of it, isn't an update.
+    """
     cols = [c for c in after.columns if c != key]
     old = before.select(key, F.struct(*cols).alias("__old"))
     new = after.select(key, F.struct(*cols).alias("__new"))
     both = old.join(new, key, "full").filter(~F.col("__old").eqNullSafe(F.col("__new")))
+    if tolerance is not None:
+        rest = [F.col(f"__old.{c}").eqNullSafe(F.col(f"__new.{c}")) for c in cols if c != "score"]
+        near = F.abs(F.col("__old.score") - F.col("__new.score")) <= tolerance
+        both = both.filter(~F.coalesce(reduce(lambda x, y: x & y, rest, near), F.lit(False)))
     change = F.when(F.col("__old").isNull(), "ENTER").when(F.col("__new").isNull(), "LEAVE").otherwise("UPDATE")
     return both.select(key, change.alias("change"), *[F.col(f"__new.{c}").alias(c) for c in cols])
 
 
+def cleared(before: DataFrame, key: str = "_key") -> DataFrame:
+    """The events of a map that is cleared: every member leaves."""
+    return changes(before, before.filter("false"), key)
+
+
+def latest_operations(batch: DataFrame, key: str, at: Column) -> DataFrame:
+    """The last operation of each key in a batch; earlier ones have no effect of their own."""
+    cols = [c for c in batch.columns if c != key]
+    return batch.groupBy(key).agg(F.max_by(F.struct(*cols), at).alias("v")).select(key, "v.*")
+
+
+def applied(state: DataFrame, operations: DataFrame, key: str) -> DataFrame:
+    """The state after operations (key, deleted, and the state's columns), one a key."""
+    kept = state.join(operations.select(key), key, "left_anti")
+    return kept.unionByName(operations.filter("not deleted").select(*state.columns))
+
+
 def top(df: DataFrame, column: str, limit: int, key: str = "_key", descending: bool = False) -> DataFrame:
     by = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
     return df.orderBy(by, key).limit(limit)

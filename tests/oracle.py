@@ -1,5 +1,7 @@
 """Compares a query with its SQL, run by DuckDB on the same tables."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 
@@ -8,11 +10,14 @@ DATA = "/root/testdata/sf0.001"
 
 
 def _value(v):
+    """Whole numbers exactly (also where a null made them floats), others to six digits."""
     if hasattr(v, "__len__"):
         return v if isinstance(v, str) else str(list(v))
     if pd.isna(v):
         return ""
-    return str(v) if isinstance(v, bool) else f"{float(v):.6g}" if isinstance(v, (int, float)) else str(v)
+    if isinstance(v, bool) or not isinstance(v, numbers.Real):
+        return str(v)
+    return str(int(v)) if v == round(v) and abs(v) < 2**53 else f"{float(v):.6g}"
 
 
 def rows(df):

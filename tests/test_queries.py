@@ -1,7 +1,7 @@
 import pytest
 from oracle import both
 
-from quern.queries import QUERIES, SQL
+from quern.catalog import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -5,7 +5,7 @@ import re
 from oracle import DATA
 
 from quern.functions.text import STOPWORDS, stem
-from quern.queries import QUERIES
+from quern.catalog import QUERIES
 
 
 def test_all_stems_of_all_documents(spark, tmp_path):
