@@ -117,7 +117,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             at, line, start, stop, key = [], [], [], [], []
             for k, t in enumerate(b.column("text")):
                 data = lowered(t.as_py())
-                for n, begin, h, first, last in lines_of(data, 2 * BLOCK - 1):
+                for n, line_at, h, first, last in lines_of(data, 2 * BLOCK - 1):
                     g = shingle_hashes(h)
                     # A block's blanks go with it: it ends where the next word starts, or at the line's last word.
                     ends = np.append(first, last[-1])
@@ -128,8 +128,8 @@ def blocks(docs: DataFrame) -> DataFrame:
                             own.add(x)
                             at.append(k)
                             line.append(n)
-                            start.append(int(first[i]) - begin)
-                            stop.append(int(ends[i + BLOCK]) - begin)
+                            start.append(int(first[i]) - line_at)
+                            stop.append(int(ends[i + BLOCK]) - line_at)
                             key.append(x)
             i = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
