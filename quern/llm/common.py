@@ -211,9 +211,3 @@ def bitmap(df: DataFrame, col: str, bits: int = BITMAP_BITS) -> np.ndarray:
     out = np.zeros(bits // 64, np.int64)
     out[rows["w"].to_numpy()] = rows["b"].to_numpy()
     return out.view(np.uint64)
-
-
-def in_bitmap(words: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which of the 64-bit values have their bit set."""
-    h = values.astype(np.uint64, copy=False) & _U(len(words) * 64 - 1)
-    return (words[h >> _U(6)] >> (h & _U(63))) & _U(1) != 0

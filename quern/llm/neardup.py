@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import GOLD, bitmap, forget, in_bitmap, mix, table, word_hashes
+from quern.llm.common import GOLD, bitmap, forget, mix, table, word_hashes
 
 WORDS, COORDS, PERCENT = 5, 80, 75
 #: At similarity 0.75, 60 of 80 coordinates agree on average (deviation 3.9);
@@ -201,7 +201,10 @@ def similar(nodes: DataFrame, signatures: Callable[[np.ndarray], np.ndarray], gr
     mixed = lab.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2").select("sig", "n")
     rest = table(lab.join(mixed, "sig"), "mixed")
     forget(hits)
-    fine = table(fine_bits(grams_of(rest.select("cid").distinct())), "fine")
+    # A table between the two, so that a task has one Python worker.
+    grams = table(grams_of(rest.select("cid").distinct()), "grams")
+    fine = table(fine_bits(grams), "fine")
+    forget(grams)
     own = rest.groupBy("cid").agg(F.collect_set("sig").alias("sigs"))  # as many as a node has signatures at most
     cross = _across(rest.join(fine, "cid").join(own, "cid"), FINE if exact else MOST_DIFFER).join(tried, ["a", "b"], "left_anti")
     cross = table(cross, "cross")
@@ -255,20 +258,16 @@ def _across(rows: DataFrame, most_differ: int = MOST_DIFFER) -> DataFrame:
     return left.alias("l").join(other.alias("r"), on).select(F.least("cid", "cid_").alias("a"), F.greatest("cid", "cid_").alias("b"))
 
 
-def in_rows(col, words: np.ndarray):
-    """A condition: the bit of the long column is set."""
-
-    @F.pandas_udf("boolean")
-    def held(v):
-        import pandas as pd
-
-        return pd.Series(in_bitmap(words, v.to_numpy(np.int64).view(np.uint64)))
-
-    return held(col)
+def held_in(df: DataFrame, col: str, words: np.ndarray) -> DataFrame:
+    """The rows of df whose long column has its bit set: a semi-join with the bitmap, one row of a fixed size."""
+    one = df.sparkSession.createDataFrame(pa.table({"__words": pa.array([words.view(np.int64)], pa.list_(pa.int64()))}))
+    h = f"({col} & {64 * len(words) - 1}L)"
+    bit = F.expr(f"(shiftright(__words[cast(shiftright({h}, 6) as int)], cast({h} & 63 as int)) & 1) = 1")
+    return df.join(F.broadcast(one), bit, "left_semi")
 
 
 def texts_at(docs: DataFrame, places: DataFrame) -> DataFrame:
     """places (doc_id, th, ...) with the text of each; docs has doc_id, th, text."""
-    held = docs.filter(in_rows(F.col("th"), bitmap(places, "th")))
+    held = held_in(docs, "th", bitmap(places, "th"))
     p = places.withColumnsRenamed({"doc_id": "at_doc", "th": "at_th"})
     return held.join(p, held["doc_id"].eqNullSafe(p["at_doc"]) & (held["th"] == p["at_th"])).select(*places.columns, "text")

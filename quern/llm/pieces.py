@@ -14,7 +14,7 @@ import numpy as np
 from quern.llm.common import holder
 
 CACHE_CHUNKS = 300_000  # about 60 MB a worker
-TEXT_CHARS = 2_000_000  # texts handled at once
+TEXT_CHARS = 300_000  # texts handled at once
 
 
 class ChunkCache:

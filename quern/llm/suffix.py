@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import begin, bitmap, keyed, mix, of_row, parts, read, table, whole
-from quern.llm.neardup import in_rows
+from quern.llm.neardup import held_in
 
 WINDOW, ANCHOR, SMALL, TOGETHER, CHUNK = 400, 64, 1024, 4096, 1 << 22
 _U = np.uint64
@@ -151,7 +151,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     per_doc = table(cand.groupBy("doc_id", "th").agg(F.collect_list(F.struct("v", "hs", "n", "d", "a", "p1", "p2")).alias("cut")), "cuts")
     per_doc = per_doc.withColumnsRenamed({"doc_id": "at_doc", "th": "at_th"})
     d = keyed(docs)
-    d = d.filter(in_rows(F.col("th"), bitmap(per_doc, "at_th")))
+    d = held_in(d, "th", bitmap(per_doc, "at_th"))
     held = d.join(per_doc, d["doc_id"].eqNullSafe(per_doc["at_doc"]) & (d["th"] == per_doc["at_th"])).select("text", "cut")
 
     def cut(batches):
