@@ -16,21 +16,25 @@ n_removed, n_spans, kept_text, n_bytes).
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import jaccard, line_dedup, packing, quality, suffix
 from quern.llm.common import of_row, read, release, table, whole
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a base rule or a certified threshold rejects go."""
     release(spark)
     judged = quality.judge(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return judged.filter("kept").select(*docs.columns)
+    return judged.filter("kept").select(*_columns(docs))
 
 
-def _rewritten(docs: DataFrame, text: F.Column) -> DataFrame:
+def _rewritten(docs: DataFrame, text: Column) -> DataFrame:
     return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -38,7 +42,7 @@ def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Later occurrences of three-line windows go; so do documents of which nothing is left."""
     release(spark)
     out = line_dedup.dedup_lines(docs).filter("n_removed = 0 or length(trim(kept_text)) > 0")
-    return _rewritten(out, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))).select(*docs.columns)
+    return _rewritten(out, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))).select(*_columns(docs))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,7 @@ def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Repeated 400-byte strings go; a character cut in two goes with them, and so do documents of which nothing is left."""
     release(spark)
     out = suffix.dedup_bytes(docs, as_text=True).filter("n_removed = 0 or length(trim(kept)) > 0")
-    return _rewritten(out, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))).select(*docs.columns)
+    return _rewritten(out, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))).select(*_columns(docs))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
