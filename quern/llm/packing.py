@@ -6,7 +6,8 @@ the input). Items above a third of the capacity go at most two to a bin: from
 the longest down, each takes the longest partner that fits. Smaller items, from
 the longest down, go where the least gap that holds them is. The plan says for
 each length which ranks go to which sequences; ranks come from a count per
-(length, salt), so that a hot length is not ranked in one task.
+(length, salt), so that a hot length is not ranked in one task; there are as many
+salts as keep a task's share of a length that all items have at about ROWS_A_SALT rows.
 
 Cases: a null or empty text is its end token alone; repeated rows are packed
 each for itself; texts longer than the capacity are cut into full pieces and a
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import begin, keyed, read, table
 from quern.llm.pieces import in_turns, word_cache, word_chunks
 
-CAPACITY, END, SALTS = 4096, 1, 256
+CAPACITY, END = 4096, 1
+ROWS_A_SALT = 100_000
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, tokens: bool = False) -> DataFrame:
@@ -127,7 +129,8 @@ def lookup(groups: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.ndar
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, th, piece and length (1 to capacity)."""
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th", "piece"), F.lit(SALTS)).cast("int"))
+    salts = 1 + items.count() // ROWS_A_SALT
+    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th", "piece"), F.lit(salts)).cast("int"))
     held = table(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     look = lookup(plan(counts, capacity))

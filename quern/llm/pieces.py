@@ -6,6 +6,7 @@ chunks go to the tokenizer, in batches.
 
 from __future__ import annotations
 
+import os
 import re
 from unicodedata import is_normalized
 
@@ -78,6 +79,8 @@ def word_parts(chunk: str) -> tuple[str, str]:
 def word_cache(path: str) -> ChunkCache:
     """For the word-end BPE: blanks end every token, so blanks part chunks."""
     if path not in _words:
+        # A task has one core; more threads would only wait for each other over short words.
+        os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
