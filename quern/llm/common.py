@@ -38,7 +38,7 @@ def table(df: DataFrame, name: str = "t", scratch: bool = True) -> DataFrame:
     """Write df to a Parquet table in the shared folder and read it back.
 
     Cuts lineage durably: a lost executor costs a re-read, not a re-run.
-    Scratch tables go with ``release``, others stay.
+    Scratch tables go with ``temporary``, ``forget`` or ``drop``, others stay.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
@@ -63,15 +63,36 @@ def forget(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._path)
 
 
-def release(spark: SparkSession) -> list[str]:
-    """Delete the scratch tables written so far.
+class temporary:  # noqa: N801
+    """Tables made inside a with block go at its end, but for those that it is called with.
 
-    Call it only when no result that reads them is still to be computed.
+    with temporary() as keep:
+        t = keep(table(...))
     """
-    gone = list(_scratch)
-    for path in gone:
-        _delete(spark, path)
-    return gone
+
+    def __enter__(self) -> temporary:
+        self.before, self.kept = set(_scratch), set()
+        return self
+
+    def __call__(self, t: DataFrame) -> DataFrame:
+        self.kept.add(t._path)
+        return t
+
+    def __exit__(self, *_) -> None:
+        drop([p for p in _scratch if p not in self.before and p not in self.kept])
+
+
+def made() -> list[str]:
+    """The scratch tables that are still there."""
+    return list(_scratch)
+
+
+def drop(paths: list[str]) -> None:
+    """Delete scratch tables; call it only when no result that reads them is still to be computed."""
+    spark = SparkSession.active() if paths else None
+    for p in paths:
+        if p in _scratch:
+            _delete(spark, p)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

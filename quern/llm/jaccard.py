@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import begin, keyed, read, table
+from quern.llm.common import begin, keyed, read, table, temporary
 from quern.llm.neardup import part_enum, shingles, similar, sketch, texts_at
 
 
@@ -55,17 +55,18 @@ def _grams(batches):
 
 def classes(docs: DataFrame, exact: bool = False) -> DataFrame:
     """doc_id, th, n_shingles, component_id, first (this row's set has the component's least place). exact: see ``neardup.similar``."""
-    f = table(features(docs), "features")
-    nodes = f.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("place"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"))
-    nodes = table(nodes.withColumn("cid", F.monotonically_increasing_id()), "nodes")
-
-    def grams_of(ids: DataFrame) -> DataFrame:
-        places = nodes.join(ids, "cid").select("cid", "place.doc_id", "place.th")
-        return texts_at(keyed(docs), places).select("cid", "text").mapInArrow(_grams, "cid long, grams binary")
-
-    root = similar(nodes, part_enum, grams_of, exact)
-    known = nodes.join(root, "cid", "left").select("sid", "place", "least", F.coalesce("root", "cid").alias("root"))
-    known = table(known, "roots")
+    with temporary() as keep:
+        f = keep(table(features(docs), "features"))
+        nodes = f.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("place"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"))
+        nodes = table(nodes.withColumn("cid", F.monotonically_increasing_id()), "nodes")
+
+        def grams_of(ids: DataFrame) -> DataFrame:
+            places = nodes.join(ids, "cid").select("cid", "place.doc_id", "place.th")
+            return texts_at(keyed(docs), places).select("cid", "text").mapInArrow(_grams, "cid long, grams binary")
+
+        root = similar(nodes, part_enum, grams_of, exact)
+        known = nodes.join(root, "cid", "left").select("sid", "place", "least", F.coalesce("root", "cid").alias("root"))
+        known = keep(table(known, "roots"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.min("place").alias("first"))
     named = known.join(least, "root").select("sid", "component_id", F.col("first").alias("head"))
     out = f.join(named, "sid", "left")

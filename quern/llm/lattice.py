@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import GOLD, mix, parts, read, table
+from quern.llm.common import GOLD, mix, parts, read, table, temporary
 from quern.llm.neardup import components
 
 COSINE, TABLES, BLOCKS, PROBES, SCALE, SEED, BLOCK_ROWS = 0.93, 12, 2, 3, 0.28, 8, 512
@@ -229,15 +229,16 @@ def _least(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
-    u = table(units(vectors), "units")
-    nodes = u.filter("vid is not null").groupBy("vid").agg(F.first("label").alias("label"), F.first("unit").alias("unit"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
-    nodes = table(nodes.withColumn("cid", F.monotonically_increasing_id()), "nodes")
-    found = table(links(nodes), "links")
-    degree = found.groupBy("cid").agg(F.sum("w").alias("others"))
-    root = components(found.filter("cid <> to").select(F.col("cid").alias("a"), F.col("to").alias("b")))
-    known = nodes.join(root, "cid", "left").select("cid", "vid", "n", "least", F.coalesce("root", "cid").alias("root"))
-    known = known.join(degree, "cid", "left").select("vid", "root", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    known = table(known, "roots")
+    with temporary() as keep:
+        u = keep(table(units(vectors), "units"))
+        nodes = u.filter("vid is not null").groupBy("vid").agg(F.first("label").alias("label"), F.first("unit").alias("unit"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
+        nodes = table(nodes.withColumn("cid", F.monotonically_increasing_id()), "nodes")
+        found = table(links(nodes), "links")
+        degree = found.groupBy("cid").agg(F.sum("w").alias("others"))
+        root = components(found.filter("cid <> to").select(F.col("cid").alias("a"), F.col("to").alias("b")))
+        known = nodes.join(root, "cid", "left").select("cid", "vid", "n", "least", F.coalesce("root", "cid").alias("root"))
+        known = known.join(degree, "cid", "left").select("vid", "root", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        known = keep(table(known, "roots"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = known.join(least, "root").select("vid", "n_links", "component_id")
     out = u.select("vec_id", "vid").join(named, "vid", "left")

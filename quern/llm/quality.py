@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import GOLD, begin, of_row, read, table, whole, word_hashes
+from quern.llm.common import GOLD, begin, of_row, read, table, temporary, whole, word_hashes
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RULES = ["symbols", "shouting", "dup_lines", "repeats", "few_distinct", "bars"]
@@ -198,12 +198,14 @@ def slim(docs: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All rows and columns of docs with the base counts, base_failed and kept."""
-    cuts = table(thresholds(slim(docs), labels), "cutoffs")
+    with temporary() as keep:
+        cuts = keep(table(thresholds(slim(docs), labels), "cutoffs"))
     m = measured(whole(docs, lang=F.col("lang")), F.col("row.text")).select("row", "lang", "m.*")
     return verdicts(m, cuts).select(*of_row(docs), *BASE, "base_failed", "kept")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    m = slim(read(spark, sf_dir, "documents"))
-    cuts = table(thresholds(m, read(spark, sf_dir, "labels").select("doc_id", "quality")), "cutoffs")
+    with temporary() as keep:
+        m = keep(slim(read(spark, sf_dir, "documents")))
+        cuts = keep(table(thresholds(m, read(spark, sf_dir, "labels").select("doc_id", "quality")), "cutoffs"))
     return verdicts(m, cuts).select("doc_id", *BASE, "base_failed", "kept")

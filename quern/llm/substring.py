@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import begin, forget, keyed, read, table, word_hashes
+from quern.llm.common import begin, forget, keyed, read, table, temporary, word_hashes
 from quern.llm.neardup import WORDS, band, lowered, shingle_hashes, shingles, similar, sketch, texts_at, tune_bands
 
 MIN_WORDS, RECALL = 20, 0.998
@@ -174,11 +174,13 @@ def _kept(texts: pa.Array, removed: pa.Array, spans: pa.Array) -> pa.Array:
 
 def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, recall: float = RECALL) -> DataFrame:
     """doc_id, removed_chars (all that goes), n_lines, n_removed, removed (line numbers), n_cut (characters cut out of other lines), kept_text."""
-    lines = table(removals(docs, min_words, recall).select("doc_id", "th", "line").distinct(), "removed")
-    gone = lines.select("doc_id", "th", "line", F.lit(None).cast("struct<line:int,start:int,stop:int>").alias("span"))
-    part = cuts(docs, lines).distinct().select("doc_id", "th", F.lit(None).cast("int").alias("line"), F.struct("line", "start", "stop").alias("span"))
-    # As many as the text has lines and blocks.
-    gone = gone.union(part).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("line")).alias("removed"), F.collect_list("span").alias("spans"))
+    with temporary() as keep:
+        lines = table(removals(docs, min_words, recall).select("doc_id", "th", "line").distinct(), "removed")
+        gone = lines.select("doc_id", "th", "line", F.lit(None).cast("struct<line:int,start:int,stop:int>").alias("span"))
+        part = cuts(docs, lines).distinct().select("doc_id", "th", F.lit(None).cast("int").alias("line"), F.struct("line", "start", "stop").alias("span"))
+        # As many as the text has lines and blocks.
+        gone = gone.union(part).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("line")).alias("removed"), F.collect_list("span").alias("spans"))
+        gone = keep(table(gone, "gone"))
     gone = gone.withColumnsRenamed({"doc_id": "at_doc", "th": "at_th"})
     d = keyed(docs)
     out = d.join(gone, d["doc_id"].eqNullSafe(gone["at_doc"]) & (d["th"] == gone["at_th"]), "left")

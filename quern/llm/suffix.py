@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import begin, bitmap, keyed, mix, of_row, parts, read, table, whole
+from quern.llm.common import begin, bitmap, keyed, mix, of_row, parts, read, table, temporary, whole
 from quern.llm.neardup import held_in
 
 WINDOW, ANCHOR, SMALL, TOGETHER, CHUNK = 400, 64, 1024, 4096, 1 << 22
@@ -143,36 +143,37 @@ _SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, th, p1, spans: ranges of repeated windows, counted from p1."""
-    occ = table(run_rows(docs, window, anchor), "runs")
-    place = F.struct("doc_id", "th", "a", "p1", "p2")
-    strings = table(occ.groupBy("v", "hs").agg(F.count("*").alias("n"), F.first(place).alias("at")), "strings")
-    several = strings.groupBy("v").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1 and least = 1").drop("least")
-    cand = strings.join(several, "v").select("v", "hs", "n", "d", "at.*")
-    per_doc = table(cand.groupBy("doc_id", "th").agg(F.collect_list(F.struct("v", "hs", "n", "d", "a", "p1", "p2")).alias("cut")), "cuts")
-    per_doc = per_doc.withColumnsRenamed({"doc_id": "at_doc", "th": "at_th"})
-    d = keyed(docs)
-    d = held_in(d, "th", bitmap(per_doc, "at_th"))
-    held = d.join(per_doc, d["doc_id"].eqNullSafe(per_doc["at_doc"]) & (d["th"] == per_doc["at_th"])).select("text", "cut")
-
-    def cut(batches):
-        names = ["v", "hs", "n", "d", "lead", "s"]
-        for b in batches:
-            for t, rows in zip(b.column("text"), b.column("cut"), strict=True):
-                data = t.as_py().encode("utf-8", "surrogatepass")
-                r = {k: x.to_numpy() for k, x in zip(names[:4] + ["a", "p1", "p2"], rows.values.flatten(), strict=True)}
-                s = [data[i : j + window] for i, j in zip(r["p1"].tolist(), r["p2"].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(r[k]) for k in names[:4]), pa.array(r["a"] - r["p1"]), pa.array(s, pa.binary())], names)
-
-    texts = table(held.mapInArrow(cut, "v long, hs long, n long, d long, lead long, s binary").dropDuplicates(["v", "hs"]), "texts")
-    left = window - anchor
-    whole = strings.filter("n > 1").select("v", "hs", F.expr(f"cast(array(named_struct('s', 0L, 'e', at.p2 - at.p1)) as {SPANS})").alias("spans"))
-    few = texts.filter(F.col("d") <= SMALL).select("n", F.struct("v", "hs").alias("f"), F.col("v").alias("g"), (left - F.col("lead")).alias("lo"), "s")
-    found = _compared(few, window, anchor, "struct<v: long, hs: long>").select("f.*", F.expr("transform(spans, x -> named_struct('s', x.s - lo, 'e', x.e - lo))").alias("spans"))
-    repeated = whole.union(found)
-    many = texts.filter(F.col("d") > SMALL).select("v", "hs", "n", (left - F.col("lead")).alias("first"), (left - F.col("lead")).alias("lo"), "s")
-    for part in _split(many, window, anchor):
-        repeated = repeated.union(part)
-    repeated = table(repeated, "repeated")
+    with temporary() as keep:
+        occ = keep(table(run_rows(docs, window, anchor), "runs"))
+        place = F.struct("doc_id", "th", "a", "p1", "p2")
+        strings = table(occ.groupBy("v", "hs").agg(F.count("*").alias("n"), F.first(place).alias("at")), "strings")
+        several = strings.groupBy("v").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1 and least = 1").drop("least")
+        cand = strings.join(several, "v").select("v", "hs", "n", "d", "at.*")
+        per_doc = table(cand.groupBy("doc_id", "th").agg(F.collect_list(F.struct("v", "hs", "n", "d", "a", "p1", "p2")).alias("cut")), "cuts")
+        per_doc = per_doc.withColumnsRenamed({"doc_id": "at_doc", "th": "at_th"})
+        d = keyed(docs)
+        d = held_in(d, "th", bitmap(per_doc, "at_th"))
+        held = d.join(per_doc, d["doc_id"].eqNullSafe(per_doc["at_doc"]) & (d["th"] == per_doc["at_th"])).select("text", "cut")
+
+        def cut(batches):
+            names = ["v", "hs", "n", "d", "lead", "s"]
+            for b in batches:
+                for t, rows in zip(b.column("text"), b.column("cut"), strict=True):
+                    data = t.as_py().encode("utf-8", "surrogatepass")
+                    r = {k: x.to_numpy() for k, x in zip(names[:4] + ["a", "p1", "p2"], rows.values.flatten(), strict=True)}
+                    s = [data[i : j + window] for i, j in zip(r["p1"].tolist(), r["p2"].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(r[k]) for k in names[:4]), pa.array(r["a"] - r["p1"]), pa.array(s, pa.binary())], names)
+
+        texts = table(held.mapInArrow(cut, "v long, hs long, n long, d long, lead long, s binary").dropDuplicates(["v", "hs"]), "texts")
+        left = window - anchor
+        whole = strings.filter("n > 1").select("v", "hs", F.expr(f"cast(array(named_struct('s', 0L, 'e', at.p2 - at.p1)) as {SPANS})").alias("spans"))
+        few = texts.filter(F.col("d") <= SMALL).select("n", F.struct("v", "hs").alias("f"), F.col("v").alias("g"), (left - F.col("lead")).alias("lo"), "s")
+        found = _compared(few, window, anchor, "struct<v: long, hs: long>").select("f.*", F.expr("transform(spans, x -> named_struct('s', x.s - lo, 'e', x.e - lo))").alias("spans"))
+        repeated = whole.union(found)
+        many = texts.filter(F.col("d") > SMALL).select("v", "hs", "n", (left - F.col("lead")).alias("first"), (left - F.col("lead")).alias("lo"), "s")
+        for part in _split(many, window, anchor):
+            repeated = repeated.union(part)
+        repeated = keep(table(repeated, "repeated"))
     return occ.join(repeated, ["v", "hs"]).select("doc_id", "th", "p1", "spans")
 
 
