@@ -15,12 +15,15 @@ n_removed, n_spans, kept_text, n_bytes).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import jaccard, line_dedup, packing, quality, suffix
-from quern.llm.common import of_row, read, release, table, whole
+from quern.llm.common import drop, made, of_row, read, table, whole
 
 
 def _columns(docs: DataFrame) -> list[Column]:
@@ -29,7 +32,6 @@ def _columns(docs: DataFrame) -> list[Column]:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a base rule or a certified threshold rejects go."""
-    release(spark)
     judged = quality.judge(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
     return judged.filter("kept").select(*_columns(docs))
 
@@ -40,14 +42,12 @@ def _rewritten(docs: DataFrame, text: Column) -> DataFrame:
 
 def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go; so do documents of which nothing is left."""
-    release(spark)
     out = line_dedup.dedup_lines(docs).filter("n_removed = 0 or length(trim(kept_text)) > 0")
     return _rewritten(out, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))).select(*_columns(docs))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least (doc_id, text hash) stays."""
-    release(spark)
     stays = jaccard.classes(docs).filter("first").select(F.col("doc_id").alias("at_doc"), F.col("th").alias("at_th")).distinct()
     d = whole(docs, doc_id=F.col("doc_id"), th=F.xxhash64(F.coalesce("text", F.lit(""))))
     # Rows that repeat id and text are one document: one row of them stays.
@@ -57,23 +57,38 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated 400-byte strings go; a character cut in two goes with them, and so do documents of which nothing is left."""
-    release(spark)
     out = suffix.dedup_bytes(docs, as_text=True).filter("n_removed = 0 or length(trim(kept)) > 0")
     return _rewritten(out, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))).select(*_columns(docs))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece with its place in a packed sequence."""
-    release(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+_left: list[str] = []
+
+
+def _alone(f: Callable) -> Callable:
+    """The stage, which first deletes the scratch tables that the stage before it has left."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(_left)
+        before = set(made())
+        out = f(spark, docs, sf_dir)
+        _left[:] = [p for p in made() if p not in before]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", line_windows),
-    ("n-gram Jaccard join", ngram_jaccard),
-    ("suffix-array dedup", suffix_array),
-    ("best-fit packing", best_fit),
+    ("quality rules", _alone(quality_rules)),
+    ("line dedup", _alone(line_windows)),
+    ("n-gram Jaccard join", _alone(ngram_jaccard)),
+    ("suffix-array dedup", _alone(suffix_array)),
+    ("best-fit packing", _alone(best_fit)),
 ]
 
 #: Tokens, exact binomial thresholds and bytes aren't SQL's: tests/llm has a brute-force version.
@@ -81,7 +96,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, old = read(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), "stage", scratch=False)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = table(stage(spark, docs, sf_dir), "stage")
+        drop(old)
+        old = [docs._path]
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    drop(old)  # the pieces are a table by now
+    return out
