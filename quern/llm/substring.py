@@ -31,24 +31,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import begin, forget, keyed, read, table, temporary, word_hashes
-from quern.llm.neardup import WORDS, band, lowered, shingle_hashes, shingles, similar, sketch, texts_at, tune_bands
+from quern.llm.neardup import WORDS, band, distinct_sets, lowered, shingle_hashes, shingles, similar, sketches, texts_at, tune_bands
 
 MIN_WORDS, RECALL = 20, 0.998
 BLOCK = 25
+TOGETHER = 50_000  # shingles whose sketches are made at once
 
 
 def lines_of(data: bytes, least: int):
-    """(line number, its first byte, hashes, starts and stops of its words) of each line of so many words or more.
+    """Hashes, starts and stops of a text's words, and (line number, its first byte, its first word, the word after its last) of each line of so many words or more.
 
     data: a text with A-Z in lower case. Places are bytes of the text.
     """
     h, start, stop = word_hashes(data)
+    if len(h) < least:
+        return h, start, stop, []
     ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), len(data))
     last = np.searchsorted(start, ends)
-    first = np.concatenate([[0], last[:-1]])
-    for n in np.flatnonzero(last - first >= least).tolist():
-        i, j = first[n], last[n]
-        yield n, int(ends[n - 1]) + 1 if n else 0, h[i:j], start[i:j], stop[i:j]
+    first = np.append(0, last[:-1])
+    n = np.flatnonzero(last - first >= least)
+    return h, start, stop, list(zip(n.tolist(), np.append(0, ends[:-1] + 1)[n].tolist(), first[n].tolist(), last[n].tolist(), strict=True))
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -57,17 +59,32 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def run(batches):
         begin("substring")
         for b in batches:
-            at, line, sid, sk = [], [], [], []
+            at, line, held, size = [], [], [], 0
             for k, t in enumerate(b.column("text")):
-                for n, _, h, _, _ in lines_of(lowered(t.as_py()), min_words):
-                    g = np.unique(shingle_hashes(h))
+                h, _, _, lines = lines_of(lowered(t.as_py()), max(min_words, WORDS))
+                g = shingle_hashes(h) if lines else h
+                for n, _, i, j in lines:
                     at.append(k)
                     line.append(n)
-                    sid.append(xxhash.xxh3_128_digest(g.tobytes()))
-                    sk.append(sketch(g))
-            i = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(i), b.column("th").take(i), pa.array(line, pa.int32()), pa.array(sid, pa.binary()), pa.array(sk, pa.binary())], ["doc_id", "th", "line", "sid", "sketch"])
-
+                    held.append(g[i : j - WORDS + 1])
+                    size += j - i
+                if size > TOGETHER:
+                    yield found(b, at, line, held)
+                    at, line, held, size = [], [], [], 0
+            yield found(b, at, line, held)
+
+    def found(b, at, line, held):
+        if not at:
+            return pa.RecordBatch.from_pylist([], schema)
+        sizes = np.array([len(g) for g in held])
+        grams, starts = distinct_sets(np.concatenate(held), np.cumsum(sizes) - sizes)
+        data, ends = memoryview(grams.tobytes()), np.append(starts[1:], len(grams)).tolist()
+        sid = [xxhash.xxh3_128_digest(data[8 * i : 8 * j]) for i, j in zip(starts.tolist(), ends, strict=True)]
+        i = pa.array(at, pa.int64())
+        sk = [s.tobytes() for s in sketches(grams, starts)]
+        return pa.RecordBatch.from_arrays([b.column("doc_id").take(i), b.column("th").take(i), pa.array(line, pa.int32()), pa.array(sid, pa.binary()), pa.array(sk, pa.binary())], schema=schema)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("sid", pa.binary()), ("sketch", pa.binary())])
     return keyed(docs).mapInArrow(run, "doc_id long, th long, line int, sid binary, sketch binary")
 
 
@@ -117,19 +134,22 @@ def blocks(docs: DataFrame) -> DataFrame:
             at, line, start, stop, key = [], [], [], [], []
             for k, t in enumerate(b.column("text")):
                 data = lowered(t.as_py())
-                for n, line_at, h, first, last in lines_of(data, 2 * BLOCK - 1):
-                    g = shingle_hashes(h)
-                    # A block's blanks go with it: it ends where the next word starts, or at the line's last word.
-                    ends = np.append(first, last[-1])
+                h, first, last, lines = lines_of(data, 2 * BLOCK - 1)
+                g = shingle_hashes(h) if lines else h
+                held = memoryview(g.tobytes())
+                for n, line_at, p, q in lines:
                     own = set()
-                    for i in block_starts(g).tolist():
-                        x = xxhash.xxh3_128_digest(g[i : i + BLOCK - WORDS + 1].tobytes())
+                    i = p + block_starts(g[p : q - WORDS + 1])
+                    # A block's blanks go with it: it ends where the next word starts, or at the line's last word.
+                    ends = np.where(i + BLOCK < q, first[np.minimum(i + BLOCK, len(h) - 1)], last[q - 1])
+                    for i, begins, ends in zip(i.tolist(), (first[i] - line_at).tolist(), (ends - line_at).tolist(), strict=True):
+                        x = xxhash.xxh3_128_digest(held[8 * i : 8 * (i + BLOCK - WORDS + 1)])
                         if x not in own:
                             own.add(x)
                             at.append(k)
                             line.append(n)
-                            start.append(int(first[i]) - line_at)
-                            stop.append(int(ends[i + BLOCK]) - line_at)
+                            start.append(begins)
+                            stop.append(ends)
                             key.append(x)
             i = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
