@@ -175,16 +175,20 @@ def _pieces(data: bytes):
         at, size = end, PIECE
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: bytes, marks: bytes = b"", but_after: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """hash (64 bits), start and stop (bytes) of each word of a text; ASCII blanks part words.
 
     A word's hash is a polynomial of its bytes, from differences of running sums: no object per word.
+    Where marks are given, those at the end of a word, after an ASCII letter or digit, are a word of
+    their own, but in words that hold a byte of ``but_after``.
     """
     out = []
     for at, end in _pieces(data):
         x = np.frombuffer(data, np.uint8, end - at, at)
         edge = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[x], [True]])))
         start, stop = edge[::2], edge[1::2]
+        if marks and len(start):
+            start, stop = _parted(x, start, stop, marks, but_after)
         power, inverse = _grow(len(x) + 1)
         sums = np.concatenate([[_U(0)], np.cumsum((x.astype(np.uint64) + _U(1)) * power[: len(x)])])
         h = (sums[stop] - sums[start]) * inverse[start]
@@ -194,6 +198,22 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def _parted(x: np.ndarray, start: np.ndarray, stop: np.ndarray, marks: bytes, but_after: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of words with the marks at their ends as spans of their own."""
+    is_mark, is_plain, is_other = np.zeros((3, 256), bool)
+    is_mark[list(marks)] = True
+    is_plain[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+    is_other[list(but_after)] = True
+    ends = np.flatnonzero(is_mark[x[stop - 1]])
+    if not len(ends):
+        return start, stop
+    head = np.maximum.accumulate(np.where(is_mark[x], -1, np.arange(len(x))))[stop[ends] - 1]  # the last byte that isn't a mark
+    others = np.append(0, np.cumsum(is_other[x]))
+    ok = (head >= start[ends]) & is_plain[x[np.maximum(head, 0)]] & (others[stop[ends]] == others[start[ends]])
+    cut = np.sort(head[ok] + 1)
+    return np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([stop, cut]))
+
+
 # ---------------------------------------------------------------- caches
 
 _holders: dict[str, Callable[[], None]] = {}

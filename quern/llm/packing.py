@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import begin, keyed, read, table
-from quern.llm.pieces import in_turns, word_cache, word_chunks
+from quern.llm.pieces import in_turns, word_ids
 
 CAPACITY, END = 4096, 1
 ROWS_A_SALT = 100_000
@@ -38,13 +38,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, tokens: bool =
 
     def run(batches):
         begin("packing")
-        cache = word_cache(path)
+        known = word_ids(path)
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             texts = b.column("text").to_pylist()
             for i, j in in_turns(texts):
                 rows: list[list] = [[] for _ in range(6)]
-                for k, ids in enumerate(cache.texts([word_chunks(t) for t in texts[i:j]]), i):
+                for k, ids in enumerate(known.texts(texts[i:j]), i):
                     ids += end
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
