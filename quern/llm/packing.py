@@ -30,7 +30,7 @@ from quern.llm.common import begin, keyed, read, table
 from quern.llm.pieces import in_turns, word_ids
 
 CAPACITY, END = 4096, 1
-ROWS_A_SALT = 100_000
+ROWS_A_SALT = 10_000
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, tokens: bool = False) -> DataFrame:
