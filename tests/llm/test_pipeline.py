@@ -31,7 +31,7 @@ def test_stages(spark):
     # Every distinct line of the good documents is still somewhere.
     assert {x for _, t in good for x in t.split("\n") if x.strip()} == {x for _, t in lines for x in t.split("\n") if x.strip()}
     assert sorted(i for i, _ in near) == sorted({c for *_, c in jaccard_brute(lines)})
-    kept = {i: n - gone for i, n, gone, *_ in suffix_brute(near, 400)}
+    kept = {i: n - gone for i, n, gone, *_ in suffix_brute(near, corpus_pipeline.PASSAGE)}
     left = {i: len(t.encode()) for i, t in rest}
     assert all(kept[i] - 6 * 50 <= n <= kept[i] for i, n in left.items())
     assert {i for i, n in kept.items() if n > 0} >= set(left)
